@@ -139,12 +139,13 @@ def feature_pipeline(
         for c, a in zip(numbers, number_columns)
     ] + [f"cast({c} as string) as {a}" for c, a in zip(columns, text_columns)]
     prepare = SQLTransformer(statement=f"select *, {', '.join(selected)} from __THIS__")
-    index = StringIndexerModel.from_arrays_of_labels(
-        [list(vocabulary[c]) for c in columns],
-        inputCols=text_columns,
-        outputCols=index_columns,
-        handleInvalid="error" if strict else "keep",
-    )
+    # One indexer per column: the many-column constructor pads lists of unequal length.
+    index = [
+        StringIndexerModel.from_labels(
+            list(vocabulary[c]), text, indexed, handleInvalid="error" if strict else "keep"
+        )
+        for c, text, indexed in zip(columns, text_columns, index_columns)
+    ]
     # With "keep" the last index stands for unseen values; dropping it leaves all zeros.
     encode = OneHotEncoder(inputCols=index_columns, outputCols=flag_columns, dropLast=not strict)
     assemble = VectorAssembler(inputCols=number_columns + flag_columns, outputCol=output)
@@ -153,7 +154,7 @@ def feature_pipeline(
         statement=f"select * except ({', '.join(helpers)}) from __THIS__"
     )
     names = list(numbers) + feature_names(vocabulary)
-    return [prepare, index, encode, assemble, tidy], names
+    return [prepare, *index, encode, assemble, tidy], names
 
 
 def fit_feature_pipeline(
@@ -165,9 +166,9 @@ def fit_feature_pipeline(
 ) -> tuple[PipelineModel, list[str]]:
     """Fitting needs no pass over the data: the sizes come with the vocabulary."""
     stages, names = feature_pipeline(vocabulary, numbers, strict, missing)
-    prepare, index, encode, assemble, tidy = stages
-    indexed = index.transform(prepare.transform(df.limit(0)))
-    return PipelineModel([prepare, index, encode.fit(indexed), assemble, tidy]), names
+    prepare, *index, encode, assemble, tidy = stages
+    indexed = PipelineModel([prepare, *index]).transform(df.limit(0))
+    return PipelineModel([prepare, *index, encode.fit(indexed), assemble, tidy]), names
 
 
 def pipeline_inputs(model: PipelineModel) -> tuple[list[str], dict[str, list[str]]]:
@@ -176,8 +177,7 @@ def pipeline_inputs(model: PipelineModel) -> tuple[list[str], dict[str, list[str
     vocabulary: dict[str, list[str]] = {}
     for stage in model.stages:
         if isinstance(stage, StringIndexerModel):
-            columns = [c.removesuffix("__text") for c in stage.getInputCols()]
-            vocabulary = dict(zip(columns, [list(v) for v in stage.labelsArray]))
+            vocabulary[stage.getInputCol().removesuffix("__text")] = list(stage.labels)
         elif isinstance(stage, VectorAssembler):
             numbers = [
                 c.removesuffix("__number") for c in stage.getInputCols() if c.endswith("__number")

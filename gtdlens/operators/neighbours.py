@@ -112,9 +112,9 @@ def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         if len(left) and len(right):
             ids, copies = right["point_id"].to_numpy(), right["copies"].to_numpy()
             near = nearest_in_block(
-                np.stack(left["x"]), left["point_id"].to_numpy(), np.stack(right["x"]), ids, k
+                np.stack(left["query_x"]), left["query_id"].to_numpy(), np.stack(right["x"]), ids, k
             )
-            for query, (gaps, at) in zip(left["point_id"], near):
+            for query, (gaps, at) in zip(left["query_id"], near):
                 rows = [
                     {"distance": g, "point_id": i, "copies": c}
                     for g, i, c in zip(gaps, ids[at], copies[at])
@@ -137,17 +137,16 @@ def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         """Give each row one block of its own kind and a copy for each block it meets."""
         return rows.join(blocks, "cell").select(
             *rows.columns,
-            F.pmod(F.xxhash64("point_id"), F.col(own)).alias(f"{own}_at"),
+            F.pmod(F.xxhash64(rows.columns[0]), F.col(own)).cast("int").alias(f"{own}_at"),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at"),
         )
 
     keys = ["cell", "__pblocks_at", "__qblocks_at"]
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({c: F.col(c).cast("bigint") for c in keys})
-
-    left = keyed(spread(queries.select("point_id", "x", "cell"), "__qblocks", "__pblocks"))
-    right = keyed(spread(points.select("point_id", "x", "copies", "cell"), "__pblocks", "__qblocks"))
+    asking = queries.select(
+        F.col("point_id").alias("query_id"), F.col("x").alias("query_x"), F.col("cell").alias("cell")
+    )
+    left = spread(asking, "__qblocks", "__pblocks")
+    right = spread(points.select("point_id", "x", "copies", "cell"), "__pblocks", "__qblocks")
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
