@@ -131,7 +131,8 @@ def scenario_features(spark, d):
 
 
 def onehot_vocabulary(spark, d):
-    return E.vocabulary_table(V.tournaments(spark, d), schemas.REGRESSOR_CATEGORIES)
+    rows = V.tournaments(spark, d)
+    return E.vocabulary_table(spark, E.fit_vocabulary(rows, schemas.REGRESSOR_CATEGORIES))
 
 
 def _category_rows(spark, d):
@@ -379,12 +380,11 @@ def gbt_regressor_scores(spark, d):
 
 
 def gbt_classifier_scores(spark, d):
-    data, _, _ = Tr.prepared_classifier_data(classifier_extract(spark, d), 3)
-    model = Mo.fit_classifier(balanced(data, ["id_match"]), QUICK)
-    scored = model.transform(data)
-    return scored.select(
-        "id_match", "label", "prediction", C.class_text("prediction").alias("outcome_text")
-    )
+    rows = classifier_extract(spark, d)
+    data, encoder, _ = Tr.prepared_classifier_data(rows, 3)
+    model = Mo.joined_pipeline(encoder, Mo.fit_classifier(balanced(data, ["id_match"]), QUICK))
+    classified = Tr.classify(rows, model)
+    return classified.select("id_match", "overlay_match_bi", "prediction", "outcome_text")
 
 
 def feature_importance(spark, d):

@@ -6,10 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 Vocabulary = Mapping[str, Sequence[str]]
 
@@ -21,48 +20,40 @@ def feature_name(column: str, value: str) -> str:
     return f"{column}_{value}"
 
 
-def vocabulary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values of each column with their sorted position and feature name.
+def fit_vocabulary(
+    df: DataFrame, columns: Sequence[str], max_values: int = MAX_VALUES
+) -> dict[str, list[str]]:
+    """Sorted distinct values per column. Numbers sort as numbers. NULL is no category.
 
     One scan for all columns: the (column, value) pairs are combined map-side, so only
-    distinct pairs are shuffled. Numbers sort as numbers. NULL is no category.
+    distinct pairs are shuffled. A column with more than ``max_values`` is refused, and
+    no more than that ever comes to the driver.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
     )
     values = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
-    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-    number = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double"))
-    by_value = Window.partitionBy("column").orderBy(number, F.col("value"))
-    return values.select(
-        "column",
-        "value",
-        (F.row_number().over(by_value) - 1).alias("position"),
-        F.concat_ws("_", "column", "value").alias("feature_name"),
-    )
-
-
-def fit_vocabulary(
-    df: DataFrame, columns: Sequence[str], max_values: int = MAX_VALUES
-) -> dict[str, list[str]]:
-    """The vocabulary as lists, refused when a column has too many values to be a category."""
-    limit = max_values * len(columns)
-    rows = (
-        vocabulary_table(df, columns)
-        .where(F.col("position") <= max_values)
-        .orderBy("column", "position")
-        .limit(limit + 1)
-        .collect()
-    )
     fitted: dict[str, list[str]] = {c: [] for c in columns}
-    for row in rows:
-        fitted[row["column"]].append(row["value"])
-    too_long = [c for c, values in fitted.items() if len(values) > max_values]
+    for column, value in values.limit(max_values * len(columns) + 1).collect():
+        fitted[column].append(value)
+    too_long = [c for c, found in fitted.items() if len(found) > max_values]
     if too_long:
         raise ValueError(f"more than {max_values} values in: {', '.join(too_long)}")
+    for column, found in fitted.items():
+        is_number = isinstance(df.schema[column].dataType, T.NumericType)
+        found.sort(key=float if is_number else None)
     return fitted
 
 
+def vocabulary_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """The vocabulary as rows, with the position and feature name of each value."""
+    rows = [
+        (c, v, i, feature_name(c, v)) for c, values in vocabulary.items() for i, v in enumerate(values)
+    ]
+    schema = "column string, value string, position int, feature_name string"
+    return spark.createDataFrame(rows, schema)
+
+
 def feature_names(vocabulary: Vocabulary) -> list[str]:
     return [feature_name(c, v) for c, values in vocabulary.items() for v in values]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gtdlens.functions.columns import absolute_error
-from gtdlens.operators.quantiles import exact_quantiles
+from gtdlens.operators.quantiles import exact_quantiles, quantiles_of
 
 
 def with_errors(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
@@ -166,26 +166,30 @@ BOX = T.StructType(
 
 
 def box_statistics(df: DataFrame, series: dict[str, Column]) -> DataFrame:
-    """Mean, quartiles and whiskers of each series, one row per series.
+    """Mean, quartiles and whiskers of each series, one row per series, in shared scans.
 
     A whisker ends at the outermost value within 1.5 box heights of the box, or at the
     box itself where there is none.
     """
+    quartiles = quantiles_of(df, series, [0.25, 0.5, 0.75])
+    filled = {name: q for name, q in quartiles.items() if q[1] is not None}
+    ends = []
+    for name, (q1, _, q3) in filled.items():
+        value, reach = series[name], 1.5 * (q3 - q1)
+        ends += [
+            F.avg(value).alias(f"{name}_mean"),
+            F.min(F.when(value >= q1 - reach, value)).alias(f"{name}_low"),
+            F.max(F.when(value <= q3 + reach, value)).alias(f"{name}_high"),
+        ]
+    found = df.agg(*ends).first() if ends else {}
     rows = []
-    for name, value in series.items():
-        q1, median, q3 = exact_quantiles(df, value, [0.25, 0.5, 0.75])
-        if median is None:
+    for name in series:
+        if name not in filled:
             rows.append((name, None, None, None, None, None, None))
             continue
-        reach = 1.5 * (q3 - q1)
-        ends = df.agg(
-            F.avg(value).alias("mean"),
-            F.min(F.when(value >= q1 - reach, value)).alias("low"),
-            F.max(F.when(value <= q3 + reach, value)).alias("high"),
-        ).first()
-        low = q1 if ends["low"] is None else min(ends["low"], q1)
-        high = q3 if ends["high"] is None else max(ends["high"], q3)
-        rows.append((name, ends["mean"], median, q1, q3, low, high))
+        q1, median, q3 = filled[name]
+        low, high = min(found[f"{name}_low"], q1), max(found[f"{name}_high"], q3)
+        rows.append((name, found[f"{name}_mean"], median, q1, q3, low, high))
     return df.sparkSession.createDataFrame(rows, BOX)
 
 

@@ -154,6 +154,32 @@ def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _boxes(placed: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact bounds of the points of each cell: cell numbers, lower and upper corners."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for cell, group in batch.groupby("cell")["x"]:
+                x = np.stack(group)
+                lower, upper = bounds.get(cell, (x[0], x[0]))
+                bounds[cell] = np.minimum(lower, x.min(axis=0)), np.maximum(upper, x.max(axis=0))
+        rows = [(c, d, lo[d], hi[d]) for c, (lo, hi) in bounds.items() for d in range(len(lo))]
+        yield pd.DataFrame(rows, columns=["cell", "dimension", "low", "high"])
+
+    corners = (
+        placed.select("cell", "x")
+        .mapInPandas(partial, "cell int, dimension int, low double, high double")
+        .groupBy("cell", "dimension")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .toPandas()
+        .sort_values(["cell", "dimension"])
+    )
+    cells = corners["cell"].unique()
+    shape = (len(cells), -1)
+    return cells, corners["low"].to_numpy().reshape(shape), corners["high"].to_numpy().reshape(shape)
+
+
 def _merged(parts: DataFrame, k: int) -> DataFrame:
     """The k nearest over all searched cells; each part brings k rows at most."""
     every = F.array_sort(F.flatten(F.collect_list("near")))
@@ -182,12 +208,7 @@ def nearest_points(points: DataFrame, queries: DataFrame, k: int, cell_points: i
 
     placed = write_once(points.select("point_id", "x", "copies", cell_of("x").alias("cell")), "placed")
     asked = placed.join(queries.select("point_id"), "point_id", "left_semi")
-    box = [f(F.col("x")[i]).alias(f"{n}{i}") for i in range(width) for n, f in (("l", F.min), ("h", F.max))]
-    boxes = placed.groupBy("cell").agg(*box).orderBy("cell").collect()
-    box_cell = np.array([b["cell"] for b in boxes])
-    low = np.array([[b[f"l{i}"] for i in range(width)] for b in boxes])
-    high = np.array([[b[f"h{i}"] for i in range(width)] for b in boxes])
-    shared = spark.sparkContext.broadcast((box_cell, low, high))
+    shared = spark.sparkContext.broadcast(_boxes(placed))
 
     home = write_once(_search(asked, placed, k), "near")
     first = _merged(home, k)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,7 +41,17 @@ def exact_quantiles(
     probabilities: Sequence[float],
     gather_limit: int = GATHER_LIMIT,
 ) -> list[float | None]:
-    """Quantiles with linear interpolation, ignoring missing values.
+    """Quantiles of one column with linear interpolation, ignoring missing values."""
+    return quantiles_of(df, {"value": value}, probabilities, gather_limit)["value"]
+
+
+def quantiles_of(
+    df: DataFrame,
+    series: Mapping[str, Column | str],
+    probabilities: Sequence[float],
+    gather_limit: int = GATHER_LIMIT,
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns, sharing the scans.
 
     Spark's exact ``percentile`` keeps every distinct value in one task, so it is used
     only for short columns. A longer column is searched by rank: a sketch proposes two
@@ -49,16 +59,30 @@ def exact_quantiles(
     this repeats until few enough values are left to sort. Each pass is one scan with
     map-side combine for all ranks together, and the answer is exact.
     """
-    column = F.col(value) if isinstance(value, str) else value
-    values = df.select(column.cast("double").alias("x")).where(
-        F.col("x").isNotNull() & ~F.isnan("x")
-    )
-    total = values.count()
-    if total == 0:
-        return [None] * len(probabilities)
-    if total <= gather_limit:
+    columns = {name: _number(value) for name, value in series.items()}
+    totals = df.agg(*[F.count(c).alias(name) for name, c in columns.items()]).first()
+    short = [name for name in columns if 0 < totals[name] <= gather_limit]
+    found: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in columns}
+    if short:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        return list(values.agg(F.percentile("x", wanted).alias("q")).first()["q"])
+        row = df.agg(*[F.percentile(columns[name], wanted).alias(name) for name in short]).first()
+        found |= {name: list(row[name]) for name in short}
+    for name, column in columns.items():
+        if totals[name] > gather_limit:
+            values = df.select(column.alias("x")).where(F.col("x").isNotNull())
+            found[name] = _searched(values, totals[name], probabilities, gather_limit)
+    return found
+
+
+def _number(value: Column | str) -> Column:
+    """The value as a double, with NaN taken as missing."""
+    number = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def _searched(
+    values: DataFrame, total: int, probabilities: Sequence[float], gather_limit: int
+) -> list[float]:
     places = [p * (total - 1) for p in probabilities]
     ranks = {f(place) for place in places for f in (math.floor, math.ceil)}
     searches = {rank: _Search(rank, total) for rank in ranks}

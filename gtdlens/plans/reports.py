@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gtdlens.functions import columns as C
 from gtdlens.operators import metrics as M
-from gtdlens.operators.quantiles import exact_quantiles
+from gtdlens.operators.quantiles import quantiles_of
 from gtdlens.sources.tables import read_csv
 from gtdlens.schemas import IMPORTANCES
 
@@ -124,15 +124,10 @@ def normalised_errors(
 
 def normalised_error_summary(errors: DataFrame) -> DataFrame:
     """Mean and median of the scaled error and of the plain absolute error."""
-    means = errors.agg(
-        F.avg("absolute_difference").alias("a"), F.avg("normalised_error").alias("n")
-    ).first()
-    row = (
-        means["a"],
-        exact_quantiles(errors, "absolute_difference", [0.5])[0],
-        means["n"],
-        exact_quantiles(errors, "normalised_error", [0.5])[0],
-    )
+    series = ("absolute_difference", "normalised_error")
+    means = errors.agg(*[F.avg(c).alias(c) for c in series]).first()
+    medians = quantiles_of(errors, {c: c for c in series}, [0.5])
+    row = tuple(v for c in series for v in (means[c], medians[c][0]))
     names = "mean_abs_error", "median_abs_error", "mean_normalised_error", "median_normalised_error"
     schema = ", ".join(f"{n} double" for n in names)
     return errors.sparkSession.createDataFrame([row], schema)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gtdlens import schemas
+from gtdlens.functions import columns as C
 from gtdlens.operators import encoding as E
 from gtdlens.operators import modeling as Mo
 from gtdlens.operators import splits
@@ -161,7 +162,20 @@ def score(rows: DataFrame, model: PipelineModel | str) -> DataFrame:
     the model's own vocabulary, whatever columns or values the batch has.
     """
     fitted = load_model(model) if isinstance(model, str) else model
-    ready, absent = E.padded(rows, fitted)
-    predicted = fitted.transform(ready)
-    return with_outcome(predicted.drop(*absent, "features", "rawPrediction", "probability"))
+    return with_outcome(_predicted(rows, fitted))
+
+
+def classify(rows: DataFrame, model: PipelineModel | str) -> DataFrame:
+    """Rows with the predicted class and the text shown for it.
+
+    The classifier's encoder is strict: a category it never saw is an error.
+    """
+    fitted = load_model(model) if isinstance(model, str) else model
+    return _predicted(rows, fitted).withColumn("outcome_text", C.class_text("prediction"))
+
+
+def _predicted(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    ready, absent = E.padded(rows, model)
+    predicted = model.transform(ready)
+    return predicted.drop(*absent, "features", "rawPrediction", "probability")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml import PipelineModel
 
 
@@ -14,6 +16,12 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+@lru_cache(maxsize=16)
+def cached_model(path: str) -> PipelineModel:
+    """A model that is asked for again and again, as in an interactive session."""
+    return load_model(path)
+
+
 def period_path(root: str, label: str) -> str:
     """One folder per training period, labelled ``<first day>_to_<last day>``."""
     return f"{root.rstrip('/')}/period={label}"
