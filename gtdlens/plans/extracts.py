@@ -141,21 +141,11 @@ def constrained_extract(
     )
 
 
-def priced_products(
-    products: DataFrame,
-    prices: DataFrame,
-    product_filter: Column,
-    price_filter: Column | None = None,
-    with_start: bool = False,
-) -> DataFrame:
-    """Distinct products with their distinct prices; one product may have several prices.
-
-    Both sides are made distinct first, with map-side combine, so repeated rows never
-    reach the join, and a pair of distinct rows is itself distinct.
-    """
+def product_facts(products: DataFrame, keep: Column, with_start: bool = False) -> DataFrame:
+    """Distinct products with their buckets, rounded amounts and label."""
     start = F.col("date_start_time_match_utc_local")
-    facts = (
-        products.where(product_filter)
+    return (
+        products.where(keep)
         .select(
             "id_match",
             "match_type_detail_name",
@@ -175,23 +165,30 @@ def priced_products(
         )
         .distinct()
     )
-    if price_filter is not None:
-        prices = prices.where(price_filter)
-    dims = prices.select(
+
+
+def price_rows(prices: DataFrame) -> DataFrame:
+    return prices.select(
         "id_match",
         F.col("value_buyin").alias("buyin_price"),
         F.col("value_rebuy").alias("rebuy_price"),
         F.col("value_addon").alias("addon_price"),
-    ).distinct()
-    joined = facts.join(dims, "id_match")
-    head = ["id_match", "match_type_detail_name", "class_match", "total_players"]
-    price_columns = ["buyin_price", "rebuy_price", "addon_price"]
-    rest = [c for c in facts.columns if c not in head]
-    return joined.select(*head, *price_columns, *rest)
+    )
+
+
+def in_order(joined: DataFrame, facts: DataFrame) -> DataFrame:
+    """The prices after the first four columns of the facts."""
+    prices = ["buyin_price", "rebuy_price", "addon_price"]
+    return joined.select(*facts.columns[:4], *prices, *facts.columns[4:])
 
 
 def classifier_extract(products: DataFrame, prices: DataFrame) -> DataFrame:
-    """Paid tournaments of the home union that lasted, with prices, buckets and label."""
+    """Paid tournaments of the home union that lasted, with prices, buckets and label.
+
+    One product may have several prices. Both sides are made distinct first, with
+    map-side combine, so repeated rows never reach the join, and a pair of distinct rows
+    is itself distinct.
+    """
     keep = (
         F.col("match_type_detail_name").startswith("MTT")
         & (F.col("buyin_value") > 0)
@@ -199,4 +196,5 @@ def classifier_extract(products: DataFrame, prices: DataFrame) -> DataFrame:
         & ~F.col("name_match").isin(*EXCLUDED_NAMES)
         & C.longer_than("duration_match", SHORTEST)
     )
-    return priced_products(products, prices, keep)
+    facts = product_facts(products, keep)
+    return in_order(facts.join(price_rows(prices).distinct(), "id_match"), facts)

@@ -66,16 +66,22 @@ def _tournament_columns(
     def per_buy_in(value: str) -> Column:
         return F.round(C.exact(value) / C.exact(buy_in), 6).cast("double")
 
-    return (
-        base.withColumn("late_registration_time", C.late_registration("mtt_blind_up_time_sec", "level_reject"))
-        .withColumn("mtt_customer_rebuy", F.when(F.col("has_rebuy"), buy_in).otherwise(0.0))
-        .withColumn("mtt_customer_addon", F.when(F.col("has_addon"), 2 * buy_in).otherwise(0.0))
-        .withColumn("mtt_result", result)
-        .withColumn("overlay", F.least("mtt_result", F.lit(0.0)))
-        .withColumn("has_overlay", F.col("mtt_result") < 0)
-        .withColumn("normalized_mtt_result", per_buy_in("mtt_result"))
-        .withColumn("normalized_collected", per_buy_in("collected"))
-        .withColumn("buyin_gtd_rate", per_buy_in("gtd"))
+    derived = base.withColumns(
+        {
+            "late_registration_time": C.late_registration("mtt_blind_up_time_sec", "level_reject"),
+            "mtt_customer_rebuy": F.when(F.col("has_rebuy"), buy_in).otherwise(0.0),
+            "mtt_customer_addon": F.when(F.col("has_addon"), 2 * buy_in).otherwise(0.0),
+            "mtt_result": result,
+            "normalized_collected": per_buy_in("collected"),
+            "buyin_gtd_rate": per_buy_in("gtd"),
+        }
+    )
+    return derived.withColumns(
+        {
+            "overlay": F.least("mtt_result", F.lit(0.0)),
+            "has_overlay": F.col("mtt_result") < 0,
+            "normalized_mtt_result": per_buy_in("mtt_result"),
+        }
     )
 
 

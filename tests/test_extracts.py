@@ -175,6 +175,9 @@ def test_lookups(spark):
     assert [(r["id_match"], r["buyin_price"]) for r in exact] == [(1, 5.5)]
     similar = L.similar_matches(products, prices, scenario, L.Ranges(gtd_match=(50, 60))).collect()
     assert sorted((r["id_match"], r["buyin_price"]) for r in similar) == [(1, 5.5), (1, 9.0), (2, 5.5)]
+    for limit in (0, 100):
+        again = L.similar_matches(products, prices, scenario, L.Ranges(gtd_match=(50, 60)), limit)
+        assert sorted(again.collect()) == sorted(similar)
     # User text is no pattern and no SQL.
     for text in ("%", "MTT' OR '1'='1"):
         assert L.exact_matches(products, prices, L.Scenario(text, "Low", "friday", "morning")).isEmpty()
