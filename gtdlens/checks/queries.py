@@ -295,18 +295,23 @@ def _fold_rows(spark, d):
     return splits.hashed_folds(_scored(spark, d), ["match_id"])
 
 
+def _fold_metrics(rows: DataFrame) -> DataFrame:
+    return M.fold_scores(
+        rows,
+        "fold",
+        mae=M.mean_absolute_error("collected", "prediction"),
+        mse=M.mean_squared_error("collected", "prediction"),
+        f1=M.class_f1("has_overlay", "has_overlay_pred"),
+    )
+
+
 def fold_metrics(spark, d):
-    rows = _fold_rows(spark, d)
-    errors = M.fold_scores(rows, "fold", "collected", "prediction")
-    f1 = M.fold_f1(rows, "fold", "has_overlay", "has_overlay_pred")
-    return _rounded(errors.join(f1, "fold"), 6, "mae", "mse", "f1")
+    return _rounded(_fold_metrics(_fold_rows(spark, d)), 6, "mae", "mse", "f1")
 
 
 def cv_objectives(spark, d):
     rows = _fold_rows(spark, d)
-    errors = M.fold_scores(rows, "fold", "collected", "prediction")
-    f1 = M.fold_f1(rows, "fold", "has_overlay", "has_overlay_pred")
-    means = M.mean_of_folds(errors.join(f1, "fold"), "mae", "mse", "f1")
+    means = M.mean_of_folds(_fold_metrics(rows), "mae", "mse", "f1")
     pooled = rows.agg(M.r_squared("collected", "prediction").alias("r2")).scalar()
     median = M.median_absolute_error(rows, "collected", "prediction")
     joined = means.withColumn("pooled_r2", pooled).withColumn("pooled_median_ae", F.lit(median))
@@ -407,7 +412,7 @@ def classifier_cv_f1(spark, d):
         range(3),
         resample=lambda train: balanced(train, ["id_match"]),
     )
-    return M.fold_f1(scored, "fold", "actual", "prediction")
+    return M.fold_scores(scored, "fold", f1=M.class_f1("actual", "prediction"))
 
 
 def tune_and_refit(spark, d):

@@ -31,6 +31,21 @@ def as_label(column: str) -> Column:
     return F.col(column).cast("double")
 
 
+def _pair_counts(df: DataFrame, actual: str, predicted: str, labels: Sequence[int]) -> DataFrame:
+    """Rows per (actual, predicted), with NULL for a prediction outside the labels.
+
+    One hash update per input row, and a handful of rows after the map-side combine.
+    """
+    a, p = as_label(actual), as_label(predicted)
+    known = df.where(a.isin(list(labels)) & p.isNotNull())
+    chosen = F.when(p.isin(list(labels)), p)
+    return known.groupBy(a.alias("a"), chosen.alias("p")).agg(F.count("*").alias("n"))
+
+
+def _total(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+
 def confusion_matrix(
     df: DataFrame, actual: str, predicted: str, labels: Sequence[int] = (0, 1)
 ) -> DataFrame:
@@ -38,10 +53,10 @@ def confusion_matrix(
 
     One aggregate row holds all cells, so a pair that never occurs still gets its zero.
     """
-    a, p = as_label(actual), as_label(predicted)
+    a, p = F.col("a"), F.col("p")
     cells = [(x, y) for x in labels for y in labels]
-    counted = df.agg(
-        *[F.count(F.when((a == x) & (p == y), 1)).alias(f"c{i}") for i, (x, y) in enumerate(cells)]
+    counted = _pair_counts(df, actual, predicted, labels).agg(
+        *[_total((a == x) & (p == y)).alias(f"c{i}") for i, (x, y) in enumerate(cells)]
     )
     rows = F.array(
         *[
@@ -58,21 +73,6 @@ def _ratio_or_zero(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
-def class_f1(actual: Column, predicted: Column, label: int) -> Column:
-    """Aggregate expression: F1 of one class, 0 where the class never occurs."""
-    hit = F.count(F.when((actual == label) & (predicted == label), 1))
-    either = F.count(F.when(actual == label, 1)) + F.count(F.when(predicted == label, 1))
-    return _ratio_or_zero(2 * hit, either)
-
-
-def fold_f1(
-    df: DataFrame, fold: str, actual: str, predicted: str, label: int = 0
-) -> DataFrame:
-    """F1 of one class (by default the loss class) per fold."""
-    score = class_f1(as_label(actual), as_label(predicted), label)
-    return df.groupBy(fold).agg(score.alias("f1"))
-
-
 def classification_report(
     df: DataFrame, actual: str, predicted: str, labels: Sequence[int] = (0, 1)
 ) -> DataFrame:
@@ -80,16 +80,15 @@ def classification_report(
 
     All counts come from one aggregate. The accuracy row has its value under ``f1``.
     """
-    a, p = as_label(actual), as_label(predicted)
-    sums = [F.count(F.when(a == p, 1)).alias("right")]
+    a, p = F.col("a"), F.col("p")
+    sums = [_total(a == p).alias("right")]
     for i, label in enumerate(labels):
         sums += [
-            F.count(F.when((a == label) & (p == label), 1)).alias(f"hit{i}"),
-            F.count(F.when(a == label, 1)).alias(f"support{i}"),
-            F.count(F.when(p == label, 1)).alias(f"chosen{i}"),
+            _total((a == label) & (p == label)).alias(f"hit{i}"),
+            _total(a == label).alias(f"support{i}"),
+            _total(p == label).alias(f"chosen{i}"),
         ]
-    known = df.where(a.isin(list(labels)) & p.isNotNull())
-    counted = known.agg(*sums)
+    counted = _pair_counts(df, actual, predicted, labels).agg(*sums)
     n = len(labels)
     support = [F.col(f"support{i}") for i in range(n)]
     total = sum(support[1:], support[0])
@@ -128,12 +127,25 @@ def r_squared(actual: str, predicted: str) -> Column:
     return F.when(spread > 0, 1 - residual / spread)
 
 
-def fold_scores(df: DataFrame, fold: str, actual: str, predicted: str) -> DataFrame:
-    """Mean absolute and mean squared error per fold."""
+def mean_absolute_error(actual: str, predicted: str) -> Column:
+    return F.avg(absolute_error(actual, predicted))
+
+
+def mean_squared_error(actual: str, predicted: str) -> Column:
     difference = F.col(actual) - F.col(predicted)
-    return df.groupBy(fold).agg(
-        F.avg(F.abs(difference)).alias("mae"), F.avg(difference * difference).alias("mse")
-    )
+    return F.avg(difference * difference)
+
+
+def class_f1(actual: str, predicted: str, label: int = 0) -> Column:
+    """Aggregate expression: F1 of one class (by default the loss class), 0 where undefined."""
+    a, p = as_label(actual) == label, as_label(predicted) == label
+    either = F.count(F.when(a, 1)) + F.count(F.when(p, 1))
+    return _ratio_or_zero(2 * F.count(F.when(a & p, 1)), either)
+
+
+def fold_scores(df: DataFrame, fold: str, **scores: Column) -> DataFrame:
+    """The given aggregate expressions per fold, in one pass."""
+    return df.groupBy(fold).agg(*[score.alias(name) for name, score in scores.items()])
 
 
 def mean_of_folds(scores: DataFrame, *names: str) -> DataFrame:

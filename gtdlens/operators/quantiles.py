@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-# Values one task may sort. Longer columns are narrowed around each quantile first.
-GATHER_LIMIT = 1_000_000
+# Values one task may sort per rank. Longer columns are narrowed around each rank first.
+GATHER_LIMIT = 500_000
 SKETCH_ACCURACY = 10_000
 
 
 @dataclass
 class _Search:
-    """The value at one rank, known to lie strictly between ``low`` and ``high``."""
+    """The value at one rank of a series, known to lie strictly between two edges."""
 
+    series: str
     rank: int
     inside: int
     below: int = 0
@@ -26,13 +27,13 @@ class _Search:
     high: float | None = None
     found: float | None = None
 
-    def holds(self, x: Column) -> Column:
+    def within(self, x: Column) -> Column:
         condition = F.lit(True)
         if self.low is not None:
             condition = condition & (x > self.low)
         if self.high is not None:
             condition = condition & (x < self.high)
-        return condition
+        return F.when(condition, x)
 
 
 def exact_quantiles(
@@ -57,20 +58,29 @@ def quantiles_of(
     only for short columns. A longer column is searched by rank: a sketch proposes two
     values around each rank, a count tells on which side of them the rank lies, and
     this repeats until few enough values are left to sort. Each pass is one scan with
-    map-side combine for all ranks together, and the answer is exact.
+    map-side combine for all ranks of all columns, and the answer is exact.
     """
-    columns = {name: _number(value) for name, value in series.items()}
-    totals = df.agg(*[F.count(c).alias(name) for name, c in columns.items()]).first()
-    short = [name for name in columns if 0 < totals[name] <= gather_limit]
-    found: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in columns}
+    values = df.select(*[_number(value).alias(name) for name, value in series.items()])
+    totals = values.agg(*[F.count(name).alias(name) for name in series]).first()
+    found: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in series}
+    short = [name for name in series if 0 < totals[name] <= gather_limit]
     if short:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(columns[name], wanted).alias(name) for name in short]).first()
+        row = values.agg(*[F.percentile(name, wanted).alias(name) for name in short]).first()
         found |= {name: list(row[name]) for name in short}
-    for name, column in columns.items():
-        if totals[name] > gather_limit:
-            values = df.select(column.alias("x")).where(F.col("x").isNotNull())
-            found[name] = _searched(values, totals[name], probabilities, gather_limit)
+    places = {
+        name: [p * (totals[name] - 1) for p in probabilities]
+        for name in series
+        if totals[name] > gather_limit
+    }
+    ranks = {(n, f(place)) for n in places for place in places[n] for f in (math.floor, math.ceil)}
+    searches = {(n, rank): _Search(n, rank, totals[n]) for n, rank in sorted(ranks)}
+    _run(values, list(searches.values()), gather_limit)
+    for name, wanted_places in places.items():
+        found[name] = []
+        for place in wanted_places:
+            low, high = (searches[name, f(place)].found for f in (math.floor, math.ceil))
+            found[name].append(low + (high - low) * (place - math.floor(place)))
     return found
 
 
@@ -80,55 +90,55 @@ def _number(value: Column | str) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def _searched(
-    values: DataFrame, total: int, probabilities: Sequence[float], gather_limit: int
-) -> list[float]:
-    places = [p * (total - 1) for p in probabilities]
-    ranks = {f(place) for place in places for f in (math.floor, math.ceil)}
-    searches = {rank: _Search(rank, total) for rank in ranks}
-    while wide := [s for s in searches.values() if s.found is None and s.inside > gather_limit]:
+def _run(values: DataFrame, searches: list[_Search], gather_limit: int) -> None:
+    while wide := [s for s in searches if s.found is None and s.inside > gather_limit]:
         _narrow(values, wide)
-    for search in searches.values():
-        if search.found is None:
-            search.found = _sorted_value(values, search)
-    answers = []
-    for place in places:
-        low, high = searches[math.floor(place)].found, searches[math.ceil(place)].found
-        answers.append(low + (high - low) * (place - math.floor(place)))
-    return answers
+    narrow = [s for s in searches if s.found is None]
+    if not narrow:
+        return
+    # At most ``gather_limit`` values per rank are left.
+    sorted_values = [
+        F.element_at(F.sort_array(F.collect_list(s.within(F.col(s.series)))), s.rank - s.below + 1)
+        for s in narrow
+    ]
+    row = values.agg(*[v.alias(f"v{i}") for i, v in enumerate(sorted_values)]).first()
+    for s, value in zip(narrow, row):
+        s.found = value
 
 
 def _narrow(values: DataFrame, searches: list[_Search]) -> None:
-    x = F.col("x")
+    """One sketch pass and one counting pass for all open searches."""
     slack = 4.0 / SKETCH_ACCURACY
+    brackets: dict[tuple, list[_Search]] = defaultdict(list)
+    for s in searches:
+        brackets[s.series, s.low, s.high].append(s)
     sketches = []
-    for i, s in enumerate(searches):
-        share = (s.rank - s.below) / s.inside
-        around = [max(share - slack, 0.0), min(share + slack, 1.0)]
-        sketch = F.percentile_approx(F.when(s.holds(x), x), around, SKETCH_ACCURACY)
-        sketches.append(sketch.alias(f"e{i}"))
-    edges = values.agg(*sketches).first()
-    counts = [
-        F.count(F.when(condition, 1)).alias(f"{name}{side}{i}")
-        for i, _ in enumerate(searches)
-        for side, edge in enumerate(edges[f"e{i}"])
-        for name, condition in (("under", x < edge), ("upto", x <= edge))
-    ]
+    for i, group in enumerate(brackets.values()):
+        shares = [(s.rank - s.below) / s.inside for s in group]
+        around = [min(max(share + d, 0.0), 1.0) for share in shares for d in (-slack, slack)]
+        value = group[0].within(F.col(group[0].series))
+        sketches.append(F.percentile_approx(value, around, SKETCH_ACCURACY).alias(f"e{i}"))
+    row = values.agg(*sketches).first()
+    edges = {}
+    for group, proposed in zip(brackets.values(), row):
+        for j, s in enumerate(group):
+            edges[s.series, s.rank] = proposed[2 * j : 2 * j + 2]
+    wanted = sorted({(s.series, edge) for s in searches for edge in edges[s.series, s.rank]})
+    counts = []
+    for i, (name, edge) in enumerate(wanted):
+        x = F.col(name)
+        counts.append(F.count(F.when(x < edge, 1)).alias(f"under{i}"))
+        counts.append(F.count(F.when(x <= edge, 1)).alias(f"upto{i}"))
     counted = values.agg(*counts).first()
-    for i, s in enumerate(searches):
+    place = {key: (counted[f"under{i}"], counted[f"upto{i}"]) for i, key in enumerate(wanted)}
+    for s in searches:
         start, end = s.below, s.below + s.inside
-        for side, edge in enumerate(edges[f"e{i}"]):
-            under, upto = counted[f"under{side}{i}"], counted[f"upto{side}{i}"]
+        for edge in edges[s.series, s.rank]:
+            under, upto = place[s.series, edge]
             if under <= s.rank < upto:
                 s.found = edge
-            elif upto <= s.rank and upto >= start:
+            elif start <= upto <= s.rank:
                 start, s.low = upto, edge
-            elif s.rank < under and under <= end:
+            elif s.rank < under <= end:
                 end, s.high = under, edge
         s.below, s.inside = start, end - start
-
-
-def _sorted_value(values: DataFrame, search: _Search) -> float:
-    number = F.row_number().over(Window.orderBy("x")) - 1 + search.below
-    rows = values.where(search.holds(F.col("x"))).select("x", number.alias("n"))
-    return rows.where(F.col("n") == search.rank).first()["x"]

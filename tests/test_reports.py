@@ -78,14 +78,18 @@ def test_class_that_never_occurs_scores_zero(spark):
     found = report(spark, [(1, 1), (1, 1)])
     assert found["0"] == (0.0, 0.0, 0.0, 0) and found["1"] == (1.0, 1.0, 1.0, 2)
     df = spark.createDataFrame([(0, 1, 1), (1, 0, 0)], "fold int, a int, p int")
-    f1 = {r["fold"]: r["f1"] for r in M.fold_f1(df, "fold", "a", "p").collect()}
+    scores = M.fold_scores(df, "fold", f1=M.class_f1("a", "p"))
+    f1 = {r["fold"]: r["f1"] for r in scores.collect()}
     assert f1 == {0: 0.0, 1: 1.0}
 
 
 def test_folds_count_once_whatever_their_size(spark):
     rows = [(0, 1.0, 2.0)] + [(1, 1.0, 4.0)] * 3
     df = spark.createDataFrame(rows, "fold int, a double, p double")
-    means = M.mean_of_folds(M.fold_scores(df, "fold", "a", "p"), "mae", "mse").first()
+    scores = M.fold_scores(
+        df, "fold", mae=M.mean_absolute_error("a", "p"), mse=M.mean_squared_error("a", "p")
+    )
+    means = M.mean_of_folds(scores, "mae", "mse").first()
     assert (means["mean_mae"], means["mean_mse"]) == (2.0, 5.0)
 
 
