@@ -20,8 +20,8 @@ from gtdlens.operators.resample import balanced
 from gtdlens.plans import extracts as X
 from gtdlens.plans import lookups as L
 from gtdlens.plans import reports as R
+from gtdlens.plans import scenario as Sc
 from gtdlens.plans import training as Tr
-from gtdlens.plans.scenario import scenario_features as form_features
 from gtdlens.session import new_path
 from gtdlens.sources import sample_views as V
 from gtdlens.sources import tables
@@ -125,9 +125,12 @@ def csv_round_trip(spark, d):
 # --- features
 
 
+def _slot_lookup(spark, d):
+    return S.hour_slot_lookup(hour_slot_counts(spark, d))
+
+
 def scenario_features(spark, d):
-    slots = S.hour_slot_lookup(hour_slot_counts(spark, d))
-    return form_features(V.scenarios(spark, d), slots)
+    return Sc.scenario_features(V.scenarios(spark, d), _slot_lookup(spark, d))
 
 
 def onehot_vocabulary(spark, d):
@@ -384,6 +387,15 @@ def gbt_regressor_scores(spark, d):
     return scored.select(*kept, "has_overlay_pred")
 
 
+def scenario_scores(spark, d):
+    """What a fitted model says about planned tournaments."""
+    _, data, encoder, _ = _regressor_data(spark, d)
+    model = Mo.joined_pipeline(encoder, Mo.fit_regressor(data, QUICK))
+    rows = Sc.scenario_rows(V.scenarios(spark, d), _slot_lookup(spark, d))
+    kept = ["scenario_id", "gtd", "prediction", "result_pred", "has_overlay_pred"]
+    return Tr.score(rows, model).select(*kept)
+
+
 def gbt_classifier_scores(spark, d):
     rows = classifier_extract(spark, d)
     data, encoder, _ = Tr.prepared_classifier_data(rows, 3)
@@ -438,6 +450,14 @@ def temporal_cv(spark, d):
     return Mo.out_of_window(data, lambda train: Mo.fit_regressor(train, QUICK), windows)[0]
 
 
+def temporal_search(spark, d):
+    """The search with the pooled error over the windows as its objective."""
+    data, _, windows = _yearly_data(spark, d)
+    trials = Tr.trial_rows(tuning.trial_table(spark, 2, QUICK_SPACE))
+    tuned = Tr.tune(data, trials, windows=windows)
+    return tuning.outcome_table(spark, tuned.outcomes, QUICK_SPACE)
+
+
 def window_tuning(spark, d):
     data, encoder, windows = _yearly_data(spark, d)
     trials = Tr.trial_rows(tuning.trial_table(spark, 2, QUICK_SPACE))
@@ -492,11 +512,13 @@ REGISTERED = (
     smote_balance,
     smote_class_counts,
     gbt_regressor_scores,
+    scenario_scores,
     gbt_classifier_scores,
     feature_importance,
     cv_oof,
     classifier_cv_f1,
     tune_and_refit,
     temporal_cv,
+    temporal_search,
     window_tuning,
 )

@@ -1,4 +1,4 @@
-"""What-if features: planned tournaments as the rows a fitted model expects."""
+"""What-if rows and features: planned tournaments as a fitted model expects them."""
 
 from __future__ import annotations
 
@@ -9,34 +9,28 @@ from gtdlens.functions import columns as C
 from gtdlens.operators import encoding as E
 from gtdlens.schemas import FORM_VOCABULARY
 
+COUNTS = ["same_hour_game", "one_hour_window_game"]
 
-def scenario_features(scenarios: DataFrame, slots: DataFrame | None = None) -> DataFrame:
-    """The form's fields, the derived numbers and the flags of the closed vocabularies.
+
+def scenario_rows(scenarios: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """The form's fields with the numbers derived from them, ready for ``score``.
 
     ``slots`` is a slot lookup by date and hour (see ``hour_slot_lookup``). A scenario
-    with no tournament near it gets zero counts; its own start is not counted.
+    with no tournament near it gets zero counts; its own start is not counted. An hour
+    outside the day is left out.
     """
     hour = F.floor("hour").cast("int")
+    rows = scenarios.withColumn("start_hour_local", F.when(hour.between(0, 23), hour))
     if slots is None:
-        counted = scenarios.withColumns(
-            {"same_hour_game": F.lit(0).cast("bigint"), "one_hour_window_game": F.lit(0).cast("bigint")}
-        )
+        rows = rows.withColumns({c: F.lit(0).cast("bigint") for c in COUNTS})
     else:
-        near = slots.select(
-            "start_date_local",
-            F.col("start_hour_local").alias("__hour"),
-            "same_hour_game",
-            "one_hour_window_game",
-        )
-        counted = (
-            scenarios.withColumn("__hour", hour)
-            .join(near, ["start_date_local", "__hour"], "left")
-            .drop("__hour")
-            .fillna(0, ["same_hour_game", "one_hour_window_game"])
-        )
-    categories = [c for c in FORM_VOCABULARY if c != "start_hour_local"]
-    return counted.select(
+        key = ["start_date_local", "start_hour_local"]
+        rows = rows.join(slots.select(*key, *COUNTS), key, "left").fillna(0, COUNTS)
+    return rows.select(
         "scenario_id",
+        "start_date_local",
+        "start_hour_local",
+        *[c for c in FORM_VOCABULARY if c != "start_hour_local"],
         "level_reject",
         "mtt_blind_up_time_sec",
         C.late_registration("mtt_blind_up_time_sec", "level_reject").alias("late_registration_time"),
@@ -48,8 +42,17 @@ def scenario_features(scenarios: DataFrame, slots: DataFrame | None = None) -> D
         "mtt_customer_addon",
         "gtd",
         C.ratio("gtd", "mtt_customer_buy_in").alias("buyin_gtd_rate"),
-        "same_hour_game",
-        "one_hour_window_game",
-        *E.hour_flags("hour"),
+        *COUNTS,
+    )
+
+
+def scenario_features(scenarios: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """The numbers and the 48 flags of the closed vocabularies, one column each."""
+    rows = scenario_rows(scenarios, slots)
+    categories = [c for c in FORM_VOCABULARY if c != "start_hour_local"]
+    numbers = [c for c in rows.columns if c not in FORM_VOCABULARY and c != "start_date_local"]
+    return rows.select(
+        *numbers,
+        *E.hour_flags("start_hour_local"),
         *[flag for c in categories for flag in E.value_flags(c, FORM_VOCABULARY[c])],
     )

@@ -36,7 +36,8 @@ def trial_rows(trials: DataFrame) -> list[dict[str, object]]:
 def tune(
     data: DataFrame,
     trials: Sequence[Mapping[str, object]],
-    folds: int,
+    folds: int = 0,
+    windows: Sequence[splits.CalendarWindow] = (),
     fit: Callable[[DataFrame, Mapping[str, object]], Model] = Mo.fit_regressor,
     objective: Callable[[DataFrame], float | None] = tuning.pooled_median_error,
     largest: bool = False,
@@ -44,7 +45,8 @@ def tune(
     resample: Callable[[DataFrame], DataFrame] | None = None,
     parallelism: int = 2,
 ) -> Tuned:
-    """Search over the trials by cross-validation on a table with a ``fold`` column.
+    """Search over the trials by cross-validation: over ``windows`` of days where given,
+    else over the ``fold`` column of the table.
 
     ``refit="all"`` fits the best parameters on every row; ``refit="last_fold"`` keeps the
     model of the last fold. The out-of-fold rows of each trial are written once, so the
@@ -54,9 +56,13 @@ def tune(
         raise ValueError(f"unknown refit: {refit}")
 
     def evaluate(trial: Mapping[str, object]) -> tuning.Outcome:
-        scored, model = Mo.out_of_fold(
-            data, lambda train: fit(train, trial), range(folds), resample=resample
-        )
+        def fitted(train: DataFrame) -> Model:
+            return fit(train, trial)
+
+        if windows:
+            scored, model = Mo.out_of_window(data, fitted, windows)
+        else:
+            scored, model = Mo.out_of_fold(data, fitted, range(folds), resample=resample)
         kept = model if refit == "last_fold" else None
         return tuning.Outcome(dict(trial), objective(scored), scored, kept)
 
