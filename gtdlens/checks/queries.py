@@ -412,18 +412,15 @@ def feature_importance(spark, d):
 
 def cv_oof(spark, d):
     _, data, _, _ = _regressor_data(spark, d)
-    return Mo.out_of_fold(data, lambda train: Mo.fit_regressor(train, QUICK), range(3))[0]
+    parts = Mo.training_parts(data, 3)
+    return Mo.out_of_fold(data, lambda train: Mo.fit_regressor(train, QUICK), parts)[0]
 
 
 def classifier_cv_f1(spark, d):
     """Folds in id order; the minority is over-sampled in the training part only."""
     data, _, _ = Tr.prepared_classifier_data(classifier_extract(spark, d), 3)
-    scored, _ = Mo.out_of_fold(
-        data,
-        lambda train: Mo.fit_classifier(train, QUICK),
-        range(3),
-        resample=lambda train: balanced(train, ["id_match"]),
-    )
+    parts = Mo.training_parts(data, 3, lambda train: balanced(train, ["id_match"]))
+    scored, _ = Mo.out_of_fold(data, lambda train: Mo.fit_classifier(train, QUICK), parts)
     return M.fold_scores(scored, "fold", f1=M.class_f1("actual", "prediction"))
 
 

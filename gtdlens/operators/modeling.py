@@ -91,26 +91,30 @@ def joined_pipeline(encoder: PipelineModel, model: Model) -> PipelineModel:
     return PipelineModel([*encoder.stages, model])
 
 
-def out_of_fold(
+def training_parts(
     data: DataFrame,
-    fit: Fit,
-    folds: Sequence[int],
-    fold: str = "fold",
+    folds: int,
     resample: Callable[[DataFrame], DataFrame] | None = None,
+    fold: str = "fold",
+) -> dict[int, DataFrame]:
+    """The rows outside each fold; ``resample`` changes these and never the fold itself."""
+    parts = {i: data.where(F.col(fold) != i) for i in range(folds)}
+    return parts if resample is None else {i: resample(part) for i, part in parts.items()}
+
+
+def out_of_fold(
+    data: DataFrame, fit: Fit, parts: Mapping[int, DataFrame], fold: str = "fold"
 ) -> tuple[DataFrame, Model]:
-    """Predict each fold with a model fitted on the others.
+    """Predict each fold with a model fitted on its training part.
 
-    Returns all predictions with their errors, and the last fold's model. ``resample``
-    changes the training part only.
+    Returns all predictions with their errors, as a written table, and the last fold's
+    model.
     """
-    parts, model = [], None
-    for i in folds:
-        train = data.where(F.col(fold) != i)
-        if resample is not None:
-            train = resample(train)
+    predicted, model = [], None
+    for i, train in parts.items():
         model = fit(train)
-        parts.append(model.transform(data.where(F.col(fold) == i)))
-    pooled = reduce(DataFrame.unionByName, parts)
+        predicted.append(model.transform(data.where(F.col(fold) == i)))
+    pooled = reduce(DataFrame.unionByName, predicted)
     kept = [c for c in data.columns if c != "features"]
     scored = pooled.select(*kept, "prediction").withColumnRenamed("label", "actual")
     return write_once(with_errors(scored), "out_of_fold"), model

@@ -54,6 +54,8 @@ def tune(
     """
     if refit not in ("all", "last_fold"):
         raise ValueError(f"unknown refit: {refit}")
+    # All trials share the training parts, so each fold is resampled once.
+    parts = {} if windows else Mo.training_parts(data, folds, resample)
 
     def evaluate(trial: Mapping[str, object]) -> tuning.Outcome:
         def fitted(train: DataFrame) -> Model:
@@ -62,7 +64,7 @@ def tune(
         if windows:
             scored, model = Mo.out_of_window(data, fitted, windows)
         else:
-            scored, model = Mo.out_of_fold(data, fitted, range(folds), resample=resample)
+            scored, model = Mo.out_of_fold(data, fitted, parts)
         kept = model if refit == "last_fold" else None
         return tuning.Outcome(dict(trial), objective(scored), scored, kept)
 

@@ -43,8 +43,9 @@ def test_no_outcome_is_a_feature(prepared):
 
 def test_fit_is_repeatable_and_beats_the_median(rows, prepared):
     data, _, names = prepared
-    first, _ = Mo.out_of_fold(data, lambda t: Mo.fit_regressor(t, QUICK), range(2))
-    second, _ = Mo.out_of_fold(data, lambda t: Mo.fit_regressor(t, QUICK), range(2))
+    parts = Mo.training_parts(data, 2)
+    first, _ = Mo.out_of_fold(data, lambda t: Mo.fit_regressor(t, QUICK), parts)
+    second, _ = Mo.out_of_fold(data, lambda t: Mo.fit_regressor(t, QUICK), parts)
     assert first.exceptAll(second).isEmpty()
     assert first.count() == data.count() == first.select("match_id").distinct().count()
     error = first.agg(F.avg("absolute_difference")).first()[0]
@@ -91,7 +92,8 @@ def test_search_and_refit(spark, prepared):
     assert tuned.best.score == min(o.score for o in tuned.outcomes)
     assert tuned.best.score == tuning.pooled_median_error(tuned.out_of_fold)
     last = Tr.tune(data, trials[:1], 2, objective=tuning.mean_fold_mse, refit="last_fold")
-    expected, model = Mo.out_of_fold(data, lambda t: Mo.fit_regressor(t, trials[0]), range(2))
+    parts = Mo.training_parts(data, 2)
+    expected, model = Mo.out_of_fold(data, lambda t: Mo.fit_regressor(t, trials[0]), parts)
     trees = [m.toDebugString.split("\n", 1)[1] for m in (last.model, model)]
     assert trees[0] == trees[1]
     assert tuning.mean_fold_mae(expected) > 0
@@ -161,18 +163,21 @@ def test_resampling_leaves_the_test_fold_alone(classified):
         seen.append(balanced(train, ["id_match"]))
         return seen[-1]
 
-    fit = {"n_estimators": 1, "max_depth": 2}
-    scored, _ = Mo.out_of_fold(data, lambda t: Mo.fit_classifier(t, fit), range(3), resample=resample)
-    assert scored.count() == data.count()
+    trials = [{"trial_id": i, "n_estimators": 1 + i, "max_depth": 2} for i in range(2)]
+    tuned = Tr.tune(
+        data, trials, 2, fit=Mo.fit_classifier, objective=tuning.mean_fold_f1, largest=True,
+        refit="last_fold", resample=resample,
+    )
+    # Two folds, resampled once for both trials.
+    assert len(seen) == 2
+    assert tuned.best.score == max(o.score for o in tuned.outcomes)
+    assert tuned.out_of_fold.count() == data.where("fold < 2").count()
     for i, train in enumerate(seen):
         counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
         assert counts[0.0] == counts[1.0]
-        originals = train.where("not synthetic").select("features", "label")
-        given = data.where(F.col("fold") != i).select("features", "label")
-        assert originals.count() == given.count()
-        assert originals.select(F.col("features").cast("string"), "label").exceptAll(
-            given.select(F.col("features").cast("string"), "label")
-        ).isEmpty()
+        originals = train.where("not synthetic").select(F.col("features").cast("string"), "label")
+        given = data.where(F.col("fold") != i).select(F.col("features").cast("string"), "label")
+        assert originals.count() == given.count() and originals.exceptAll(given).isEmpty()
 
 
 def points_table(spark, x):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gtdlens import schemas
 from gtdlens.operators import metrics as M
 from gtdlens.plans import reports as R
 from gtdlens.sources import tables
@@ -144,6 +145,13 @@ def test_csv_keeps_values(spark, tmp_path, scored):
     assert back.exceptAll(scored).isEmpty() and scored.exceptAll(back).isEmpty()
 
 
+def test_tables_are_read_in_schema_order(spark, tmp_path):
+    path = str(tmp_path / "importances")
+    spark.sql("select 1 as VALUE, 'a' as feature, 2 as other").write.parquet(path)
+    assert tables.read_table(spark, path, schemas.IMPORTANCES).first() == ("a", 1.0)
+    assert len(tables.read_table(spark, path).columns) == 3
+
+
 def test_sql_parameters(spark, scored):
     text = "select match_id from {rows} where gtd >= :low and start_date_local = :day"
     found = tables.run_sql(spark, text, {"low": 100.0, "day": D2}, rows=scored)
