@@ -277,10 +277,10 @@ z AS (
     SELECT *, 100.0 * (absolute_error_percentage - lo) / nullif(hi - lo, 0) AS normalised_error
     FROM e, (SELECT min(absolute_error_percentage) AS lo, max(absolute_error_percentage) AS hi FROM e)
 )"""
-FOLD = "CAST(CAST(concat('0x', substr(md5('42:' || {id}), 1, 8)) AS BIGINT) % 10 AS INT)"
+FOLD = "CAST(CAST(concat('0x', substr(md5('42:' || {id}), 1, 8)) AS BIGINT) % {k} AS INT)"
 FOLDS = f"""{SCORED},
 k AS (
-    SELECT *, {FOLD.format(id='match_id')} AS fold, has_overlay::INT AS a, has_overlay_pred::INT AS p FROM s
+    SELECT *, {FOLD.format(id='match_id', k=10)} AS fold, has_overlay::INT AS a, has_overlay_pred::INT AS p FROM s
 ),
 per AS (
     SELECT fold, avg(abs(collected - prediction)) AS mae,
@@ -291,8 +291,40 @@ per AS (
 )"""
 
 
+TRAINED = """tr AS (SELECT * FROM t WHERE match_type_detail_name = 'MTT-NLH')"""
+LONG_WINDOWS = """steps AS (
+    SELECT 0 AS i, CAST(min(CAST(o_orderdate AS DATE)) + INTERVAL 33 MONTH AS DATE) AS v FROM orders
+    UNION ALL
+    SELECT i + 1, CAST(v + INTERVAL 12 MONTH AS DATE) FROM steps
+    WHERE CAST(v + INTERVAL 12 MONTH AS DATE) < (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)
+),
+w AS (
+    SELECT CAST(i AS INT) AS window_id, v AS valid_start,
+        CAST(v + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE) AS valid_end,
+        CAST(CAST(v - INTERVAL 33 MONTH AS DATE) AS VARCHAR) || '_to_'
+            || CAST(CAST(v + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS period
+    FROM steps
+)"""
+NUMBERS = (
+    "level_reject", "mtt_blind_up_time_sec", "late_registration_time", "earlybird", "has_rebuy",
+    "has_addon", "mtt_customer_buy_in", "mtt_customer_rebuy", "mtt_customer_addon", "gtd",
+    "buyin_gtd_rate", "same_hour_game", "one_hour_window_game",
+)
+
+
+def _draw(name: str, low: float, high: float, whole: bool = False) -> str:
+    u = f"CAST(concat('0x', substr(md5('42:' || i || ':{name}'), 1, 13)) AS BIGINT) / pow(16, 13)"
+    value = f"floor({low} + {u} * ({high} - {low} + 1))" if whole else f"{low} + {u} * ({high} - {low})"
+    return f"round(CAST({value} AS DOUBLE), 6) AS {name}"
+
+
 def statements() -> dict[str, str]:
     extract = f"WITH {EXTRACT} SELECT * FROM x"
+    classifier = _priced(
+        "kind LIKE 'MTT%' AND v > 0 AND grand_union = 113 "
+        "AND name_match NOT IN ('HG', 'LIVE', 'PVD', 'PVT', 'CLASS')",
+        start=False,
+    )
     return {
         "regressor_extract": extract,
         "regressor_extract_selfjoin": extract,
@@ -302,11 +334,7 @@ def statements() -> dict[str, str]:
         "hour_band_counts": f"""WITH {T}, {SLOTS}
             SELECT d AS start_date_local, h AS start_hour_local, n AS same_hour_game,
                 near AS one_hour_window_game FROM band""",
-        "classifier_extract": _priced(
-            "kind LIKE 'MTT%' AND v > 0 AND grand_union = 113 "
-            "AND name_match NOT IN ('HG', 'LIVE', 'PVD', 'PVT', 'CLASS')",
-            start=False,
-        ),
+        "classifier_extract": classifier,
         "exact_matches": _priced(f"{SAME} AND price = 5.5 AND rebuy = 0 AND gtd = 153", start=True),
         "similar_matches": _priced(
             f"{SAME} AND price BETWEEN 1 AND 25 AND rebuy BETWEEN 0 AND 15 AND gtd BETWEEN 1 AND 200",
@@ -336,7 +364,7 @@ def statements() -> dict[str, str]:
             CAST(ntile(10) OVER (ORDER BY match_id) - 1 AS INT) AS fold FROM t""",
         "kfold_shuffled": f"""WITH {T} SELECT match_id, collected,
             CAST(ntile(7) OVER (ORDER BY md5('42:' || match_id)) - 1 AS INT) AS fold FROM t""",
-        "kfold_hashed": f"""WITH {T} SELECT match_id, collected, {FOLD.format(id='match_id')} AS fold FROM t""",
+        "kfold_hashed": f"""WITH {T} SELECT match_id, collected, {FOLD.format(id='match_id', k=10)} AS fold FROM t""",
         "rolling_schedule": f"""WITH RECURSIVE {SCHEDULE}, o AS (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)
             SELECT *, CAST(train_start AS VARCHAR) || '_to_' || CAST(valid_end AS VARCHAR) AS label,
                 (SELECT count(*) FROM o WHERE d BETWEEN train_start AND train_end) AS train_rows,
@@ -420,4 +448,28 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT 0.0, false, many FROM c
             UNION ALL SELECT CASE WHEN few < many THEN 1.0 ELSE 0.0 END, true, abs(many - few) FROM c
                 WHERE few <> many""",
+        "nearest_neighbours": """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+            d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance
+                FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS n FROM d)
+            SELECT vec_id, CAST(n - 1 AS INT) AS place, neighbour, round(distance, 6) AS distance
+            FROM r WHERE n <= 5""",
+        "score_consistency": f"""WITH {T}, {TRAINED} SELECT match_id, gtd, collected,
+            true AS same_after_reload, true AS result_follows, true AS flag_follows FROM tr""",
+        "classifier_consistency": f"""SELECT id_match, overlay_match_bi, true AS is_class, true AS text_follows
+            FROM ({classifier})""",
+        "importance_features": f"""WITH {T}, {TRAINED} SELECT feature_name AS feature, 1.0::DOUBLE AS total
+            FROM ({_vocabulary('tr')}) UNION ALL SELECT unnest({list(NUMBERS)}), 1.0""",
+        "cv_oof_rows": f"""WITH {T}, {TRAINED} SELECT match_id, {FOLD.format(id='match_id', k=3)} AS fold,
+            collected AS actual FROM tr""",
+        "temporal_cv_rows": f"""WITH RECURSIVE {YEARLY}, {LONG_WINDOWS}
+            SELECT window_id, match_id, start_date_local, collected AS actual FROM t, w
+            WHERE start_date_local BETWEEN valid_start AND valid_end""",
+        "window_tuning_rows": f"""WITH RECURSIVE {YEARLY}, {LONG_WINDOWS}
+            SELECT window_id, period, match_id, collected AS actual FROM t, w
+            WHERE start_date_local BETWEEN valid_start AND valid_end""",
+        "search_trials": f"""SELECT i AS trial_id, {_draw('n_estimators', 2, 4, True)},
+            {_draw('max_depth', 2, 3, True)}, {_draw('learning_rate', 0.1, 0.5)},
+            {_draw('subsample', 0.5, 1.0)}, {_draw('colsample_bytree', 0.5, 1.0)}, true AS is_scored
+            FROM range(3) r(i)""",
     }

@@ -16,6 +16,7 @@ from gtdlens.operators import modeling as Mo
 from gtdlens.operators import slots as S
 from gtdlens.operators import splits
 from gtdlens.operators import tuning
+from gtdlens.operators.neighbours import nearest_points
 from gtdlens.operators.resample import balanced
 from gtdlens.plans import extracts as X
 from gtdlens.plans import lookups as L
@@ -463,6 +464,80 @@ def window_tuning(spark, d):
     return scored
 
 
+# --- what must hold of the model queries whatever the trees are
+
+
+def nearest_neighbours(spark, d):
+    """The five nearest other vectors of every vector, as the over-sampling finds them."""
+    points = V.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("point_id"),
+        F.col("embedding").cast("array<double>").alias("x"),
+        F.lit(1).cast("bigint").alias("copies"),
+    )
+    near = nearest_points(points, points, 5)
+    return near.select("point_id", F.posexplode("near").alias("place", "n")).select(
+        F.col("point_id").alias("vec_id"),
+        "place",
+        F.col("n.point_id").alias("neighbour"),
+        F.round("n.distance", 6).alias("distance"),
+    )
+
+
+def score_consistency(spark, d):
+    """Derived columns follow from the prediction, and a reloaded model predicts the same."""
+    rows, data, encoder, _ = _regressor_data(spark, d)
+    model = Mo.joined_pipeline(encoder, Mo.fit_regressor(data, QUICK))
+    path = save_model(model, new_path(spark, "regressor"))
+    again = Tr.score(Tr.score(rows, model).withColumnRenamed("prediction", "first"), path)
+    return again.select(
+        "match_id",
+        "gtd",
+        "collected",
+        (F.col("prediction") == F.col("first")).alias("same_after_reload"),
+        (F.col("result_pred") == F.col("prediction") - F.col("gtd")).alias("result_follows"),
+        (F.col("has_overlay_pred") == (F.col("result_pred") < 0)).alias("flag_follows"),
+    )
+
+
+def classifier_consistency(spark, d):
+    classified = gbt_classifier_scores(spark, d)
+    text = F.when(F.col("prediction") == 1, C.PROFIT_TEXT).otherwise(C.LOSS_TEXT)
+    return classified.select(
+        "id_match",
+        "overlay_match_bi",
+        F.col("prediction").isin(0.0, 1.0).alias("is_class"),
+        (F.col("outcome_text") == text).alias("text_follows"),
+    )
+
+
+def importance_features(spark, d):
+    """The feature names, and that their importances sum to one."""
+    _, data, _, names = _regressor_data(spark, d)
+    found = Mo.feature_importances(data, Mo.fit_regressor(data, QUICK), names)
+    total = found.agg(F.round(F.sum("value"), 6)).scalar()
+    return found.select("feature", total.alias("total"))
+
+
+def cv_oof_rows(spark, d):
+    """Every row is predicted once, in its own fold, with its own actual value."""
+    return cv_oof(spark, d).select("match_id", "fold", "actual")
+
+
+def temporal_cv_rows(spark, d):
+    return temporal_cv(spark, d).select("window_id", "match_id", "start_date_local", "actual")
+
+
+def window_tuning_rows(spark, d):
+    return window_tuning(spark, d).select("window_id", "period", "match_id", "actual")
+
+
+def search_trials(spark, d):
+    """The drawn parameters of a search, each with a score."""
+    outcomes = tune_and_refit(spark, d)
+    drawn = [F.round(name, 6).alias(name) for name in QUICK_SPACE]
+    return outcomes.select("trial_id", *drawn, (F.col("score") >= 0).alias("is_scored"))
+
+
 REGISTERED = (
     regressor_extract,
     regressor_extract_selfjoin,
@@ -518,4 +593,12 @@ REGISTERED = (
     temporal_cv,
     temporal_search,
     window_tuning,
+    nearest_neighbours,
+    score_consistency,
+    classifier_consistency,
+    importance_features,
+    cv_oof_rows,
+    temporal_cv_rows,
+    window_tuning_rows,
+    search_trials,
 )
