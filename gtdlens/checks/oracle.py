@@ -62,7 +62,7 @@ T = _tournaments(
 )
 YEARLY = _tournaments(
     """SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS day, o_custkey % 24 AS hour,
-        'MTT-NLH' AS kind, o_custkey AS g, o_orderkey % 100 AS k, o_totalprice / 1000 AS amount FROM orders"""
+        'MTT-NLH' AS kind, o_custkey AS g, o_orderkey % 100 AS k, o_totalprice % 500 AS amount FROM orders"""
 )
 SCORED = f"""{T},
 s AS (

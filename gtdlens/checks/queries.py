@@ -436,7 +436,7 @@ def _yearly_data(spark, d):
     rows = V.yearly_tournaments(spark, d)
     days = rows.agg(F.min("start_date_local"), F.max("start_date_local")).first()
     extract = X.regressor_extract(rows, days[0], days[1], classes=ALL_CLASSES)
-    data, encoder, _ = Tr.prepared_regressor_data(extract, 2)
+    data, encoder, _ = Tr.prepared_regressor_data(extract, 2, by_day=True)
     windows = splits.rolling_windows(
         splits.add_months(days[0], 33), days[1], train_months=33, valid_months=12, step_months=12
     )

@@ -186,7 +186,9 @@ def _merged(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("point_id").agg(F.slice(every, 1, k).alias("near"))
 
 
-def nearest_points(points: DataFrame, queries: DataFrame, k: int, cell_points: int = CELL_POINTS) -> DataFrame:
+def nearest_points(
+    points: DataFrame, queries: DataFrame, k: int, cell_points: int = CELL_POINTS
+) -> DataFrame:
     """For each query point, its k nearest other points as (distance, point_id, copies).
 
     ``points`` is a written table (point_id, x: array<double>, copies) of distinct
@@ -208,8 +210,9 @@ def nearest_points(points: DataFrame, queries: DataFrame, k: int, cell_points: i
 
     placed = write_once(points.select("point_id", "x", "copies", cell_of("x").alias("cell")), "placed")
     asked = placed.join(queries.select("point_id"), "point_id", "left_semi")
+    if cells == 1:
+        return _merged(_search(asked, placed, k), k)
     shared = spark.sparkContext.broadcast(_boxes(placed))
-
     home = write_once(_search(asked, placed, k), "near")
     first = _merged(home, k)
     reach = F.when(F.size("near") >= k, F.element_at("near", -1)["distance"])

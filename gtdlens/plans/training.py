@@ -76,9 +76,13 @@ def tune(
 
 
 def prepared_regressor_data(
-    rows: DataFrame, folds: int, seed: int = 42, strict: bool = False
+    rows: DataFrame, folds: int, seed: int = 42, strict: bool = False, by_day: bool = False
 ) -> tuple[DataFrame, PipelineModel, list[str]]:
-    """Encode once, assign folds, and write the result: every fit then reads that table."""
+    """Encode once, assign folds, and write the result: every fit then reads that table.
+
+    With ``by_day`` the table is laid out by date, so each rolling window reads only the
+    row groups of its own days. The id is part of the range, which splits a hot date.
+    """
     numbers = [c for c in schemas.REGRESSOR_NUMBERS if c in rows.columns]
     data, encoder, names = Mo.encoded(
         rows,
@@ -89,6 +93,10 @@ def prepared_regressor_data(
         strict=strict,
     )
     with_folds = splits.hashed_folds(data, ["match_id"], folds, seed)
+    if by_day:
+        with_folds = with_folds.repartitionByRange(
+            "start_date_local", "match_id"
+        ).sortWithinPartitions("start_date_local")
     return write_once(with_folds, "features"), encoder, names
 
 

@@ -123,7 +123,7 @@ def yearly_tournaments(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind=F.lit("MTT-NLH"),
         group=F.col("o_custkey"),
         small=F.col("o_orderkey") % 100,
-        amount=F.col("o_totalprice") / 1000,
+        amount=F.col("o_totalprice") % 500,
     )
 
 

@@ -122,7 +122,7 @@ def test_parameters_are_mapped():
 def test_window_models_are_saved(spark, tmp_path):
     tournaments = V.yearly_tournaments(spark, "/root/testdata/sf0.001")
     extract = X.regressor_extract(tournaments, date(1995, 1, 1), date(2001, 12, 31), classes=Q.ALL_CLASSES)
-    data, encoder, _ = Tr.prepared_regressor_data(extract, 2)
+    data, encoder, _ = Tr.prepared_regressor_data(extract, 2, by_day=True)
     windows = splits.rolling_windows(date(1990, 1, 1), date(1990, 2, 1)) + splits.rolling_windows(
         date(1999, 1, 31), date(1999, 2, 5)
     )
@@ -151,6 +151,12 @@ def test_classifier_labels(spark, classified):
     rows = Q.classifier_extract(spark, "/root/testdata/sf0.01")
     texts = {r[0] for r in Tr.classify(rows, model).select("outcome_text").distinct().collect()}
     assert texts <= {"PREVISÃO DE LUCRO", "PREVISÃO DE PREJUIZO"}
+    form = {
+        "buyin_price": 5.5, "rebuy_price": 0.0, "gtd_match": 153.0, "day_of_week": "friday",
+        "match_type_detail_name": "MTT-PLO5", "class_match": "Micro", "period": "morning",
+    }
+    typed = spark.createDataFrame([form])  # without an add-on price
+    assert Tr.classify(typed, model).first()["outcome_text"] in texts
     with pytest.raises(Exception, match="Unseen label: noon"):
         Tr.classify(rows.withColumn("period", F.lit("noon")), model).select("prediction").collect()
 
