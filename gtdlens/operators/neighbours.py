@@ -9,17 +9,22 @@ pairs.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from gtdlens.session import write_once
 
+# The tasks below carry their code with them, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CELL_POINTS = 2_048
 # Bounds both the split planes and the boxes that go to every executor.
 MAX_CELLS = 4_096

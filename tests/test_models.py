@@ -1,3 +1,5 @@
+import subprocess
+import sys
 from datetime import date
 
 import numpy as np
@@ -263,3 +265,20 @@ def test_balanced_needs_two_classes(spark):
         balanced(df.withColumn("label", (F.col("id") < 3).cast("double")), ["id"])
     even = df.where("id < 8").withColumn("label", (F.col("id") % 2).cast("double"))
     assert balanced(even, ["id"]).where("synthetic").isEmpty()
+
+
+def test_tasks_carry_their_code(tmp_path):
+    from pyspark import cloudpickle
+
+    from gtdlens.operators import neighbours as N
+
+    cells = N.split_cells(np.array([[0.0], [1.0], [2.0], [3.0]]), 2)
+    (tmp_path / "task").write_bytes(cloudpickle.dumps((cells, N.nearest_in_block)))
+    # Another process, started where the package cannot be imported.
+    code = (
+        "import pickle, numpy as np; cells, near = pickle.load(open('task', 'rb')); "
+        "x = np.array([[0.0], [3.0]]); ids = np.arange(2); "
+        "print(cells.of(x).tolist(), [list(at) for _, at in near(x, ids, x, ids, 1)])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.split("\n")[0].startswith("[0, 1]"), done.stderr
