@@ -19,6 +19,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,7 +30,9 @@ from gtdlens.llm.text_arrays import range_hashes, slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 CHUNK = 64
-KNOWN_WORDS = 2_000_000  # words a worker remembers before it starts afresh
+MEETING = 6  # characters after which most start states have met
+# What a worker remembers before it starts afresh: speed only, never the result.
+KNOWN_WORDS, KNOWN_PAIRS = 1_000_000, 400_000
 
 # Character classes of the split pattern. SHORT ends a one-letter contraction (s t m d); R V L open a longer one.
 OTHER, QUOTE, LETTER, SHORT, R, V, L, E, NUMBER, BLANK, SPACE, END = range(12)
@@ -107,8 +110,15 @@ class Splitter:
         """For each chunk the state it ends in, from each state it could start in."""
         maps = np.repeat(np.arange(N_STATES, dtype=np.uint8)[:, None], grid.shape[1], axis=1)
         flat = self.next.ravel()
-        for row in grid:
+        for row in grid[:MEETING]:
             maps = flat[maps.astype(np.int16) * 12 + row]
+        # Where all states have met by now, one of them stands for all.
+        met = (maps == maps[0]).all(axis=0)
+        one, rest = maps[:1, met], maps[:, ~met]
+        for row in grid[MEETING:]:
+            one = flat[one.astype(np.int16) * 12 + row[met]]
+            rest = flat[rest.astype(np.int16) * 12 + row[~met]]
+        maps[:, met], maps[:, ~met] = one, rest
         return maps
 
     @staticmethod
@@ -142,8 +152,11 @@ class Counter:
 
     def __init__(self, tokens: dict[bytes, int], ranks: dict[tuple[bytes, bytes], int]):
         self.tokens, self.ranks = tokens, ranks
-        self.longest = max(map(len, tokens))
         self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.automaton = ahocorasick.Automaton()
+        for token in tokens:
+            self.automaton.add_word(token.decode("latin-1"), len(token))
+        self.automaton.make_automaton()
 
     def merged(self, word: bytes) -> list[bytes]:
         """The merges themselves, lowest rank first and leftmost among equals. For short words."""
@@ -159,7 +172,7 @@ class Counter:
         """Whether the two tokens are the encoding of their concatenation."""
         known = self.apart.get((left, right))
         if known is None:
-            if len(self.apart) > KNOWN_WORDS:
+            if len(self.apart) > KNOWN_PAIRS:
                 self.apart.clear()
             known = self.apart[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -170,15 +183,17 @@ class Counter:
             return 1
         last: list[bytes] = [b""]
         total = [0]
-        for end in range(1, len(word) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                token = word[end - size : end]
-                if token in self.tokens and (end == size or self.stays_apart(last[end - size], token)):
-                    last.append(token)
-                    total.append(total[end - size] + 1)
-                    break
-            else:
-                raise ValueError(f"no encoding for {word[:end]!r}")
+        # The automaton names the tokens that end at each byte, the longest first.
+        for at, size in self.automaton.iter(word.decode("latin-1")):
+            if at + 1 < len(last):
+                continue
+            start = at + 1 - size
+            token = word[start : at + 1]
+            if not start or start < len(last) and self.stays_apart(last[start], token):
+                last.append(token)
+                total.append(total[start] + 1)
+        if len(last) <= len(word):
+            raise ValueError(f"no encoding for {word!r}")
         return total[-1]
 
 
