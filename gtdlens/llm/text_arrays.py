@@ -81,6 +81,11 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return mixed(_ranges(_byte_values(seed)[data], start, end, seed) + (end - start).astype(np.uint64))
 
 
+def number_hashes(numbers: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits for the numbers and the length of each range."""
+    return mixed(_ranges(mixed(numbers + np.uint64(1)), start, end, seed) + (end - start).astype(np.uint64))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads each bit over all others."""
     x = np.asarray(x, np.uint64)
