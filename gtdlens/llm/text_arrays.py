@@ -69,7 +69,7 @@ class Words:
     def window_hashes(self, hashes: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Where each run of `size` words within one row starts, and 64 bits for its words in order."""
         starts = self.window_starts(size)
-        return starts, mixed(_ranges(hashes, starts, starts + size, seed + 7))
+        return starts, sequence_hashes(hashes, starts, starts + size, seed)
 
     def window_starts(self, size: int) -> np.ndarray:
         index = np.arange(len(self.start))
@@ -81,6 +81,11 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return mixed(_ranges(_byte_values(seed)[data], start, end, seed) + (end - start).astype(np.uint64))
 
 
+def sequence_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits for the hashes in each range, in order, and their number."""
+    return mixed(_ranges(hashes, start, end, seed + 7) + (end - start).astype(np.uint64) * np.uint64(2 * seed + 1))
+
+
 def number_hashes(numbers: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64 bits for the numbers and the length of each range."""
     return mixed(_ranges(mixed(numbers + np.uint64(1)), start, end, seed) + (end - start).astype(np.uint64))
