@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gtdlens.llm import language, lines, packing, piece_model, quality, shards, token_counts
+from gtdlens.llm import language, lines, near_dups, packing, piece_model, quality, shards, substrings, token_counts
 from gtdlens.llm.common import documents
 
 
+def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.dedup_digest(documents(spark, d), window=20)
+
+
 def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return piece_model.encode_texts(documents(spark, d), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -23,6 +27,10 @@ def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(documents(spark, d))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, d), shingle=4, percent=80)
+
+
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(documents(spark, d))
 
@@ -40,9 +48,11 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 REGISTERED = (
+    op1_substring_dedup,
     op3_sentencepiece,
     op4_line_dedup,
     op5_language_id,
+    op6_minhash_near_dedup,
     op7_quality_rules,
     op8_length_packing,
     op9_kd_sharding,
