@@ -1,14 +1,57 @@
-"""The corpus pipeline: documents are filtered, cleaned of repeats and packed, stage after stage."""
+"""The corpus pipeline: documents are filtered, cleaned of repeats and packed, stage after stage.
+
+A stage takes (spark, docs, sf_dir), works on every document its predecessor kept and returns all columns of `documents`,
+with `n_chars` following the text; the last returns packed pieces. Rows without an id stay where a stage compares ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gtdlens.llm import lines, packing, quality
+from gtdlens.llm import lines, near_dups, packing, quality, substrings
 from gtdlens.session import write_once
 
-STAGES = []
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go from the texts."""
+    return _measured(lines.without_repeated_chunks(docs).select(*docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    gone = near_dups.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long passages that occur earlier go from the texts."""
+    return _measured(substrings.without_repeats(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in batches of like length."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("packing", pack),
+]
+
+#: No SQL: compression ratios, rolling hashes and the search for bucket bounds have none. The tests compare with brute force.
 ORACLE_SQL = None
 
 

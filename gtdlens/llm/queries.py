@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gtdlens.llm import language, lines, near_dups, packing, piece_model, quality, shards, substrings, token_counts
+from gtdlens.llm import (
+    language,
+    lines,
+    near_dups,
+    neighbours,
+    packing,
+    piece_model,
+    quality,
+    shards,
+    substrings,
+    token_counts,
+)
 from gtdlens.llm.common import documents
 
 
@@ -15,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return substrings.dedup_digest(documents(spark, d), window=20)
 
 
+def op2_multiprobe_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{d}/embeddings.parquet"), every=20, k=20)
+
+
 def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return piece_model.encode_texts(documents(spark, d), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -49,6 +64,7 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 REGISTERED = (
     op1_substring_dedup,
+    op2_multiprobe_neighbours,
     op3_sentencepiece,
     op4_line_dedup,
     op5_language_id,
