@@ -212,7 +212,8 @@ def without_repeats(
     spans = repeated_spans(narrowed(df, id_column, text_column).where("doc_id is not null"), window, seed_words)
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
     joined = df.join(spans, F.col(f"`{id_column}`") == F.col("__id"), "left").drop("__id")
-    place = df.columns.index(text_column)
+    columns = df.columns
+    place = columns.index(text_column)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, text_column):
@@ -221,6 +222,6 @@ def without_repeats(
             for i, (words, stays) in enumerate(_kept_words(two, window)):
                 if not stays.all():
                     texts[i] = b" ".join([w for w, s in zip(words, stays.tolist()) if s]).decode()
-            yield part.set_column(place, text_column, pa.array(texts, pa.string())).select(df.columns)
+            yield part.set_column(place, text_column, pa.array(texts, pa.string())).select(columns)
 
     return per_batch(joined, run, df.schema)
