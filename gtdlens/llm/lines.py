@@ -97,9 +97,10 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
 
 def without_repeated_chunks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All rows and columns, the text without the repeated chunks, and `removed_lines`, `removed_chunks`."""
-    columns = [c for c in df.columns if c not in (text_column, "removed_lines", "removed_chunks")]
+    others = [c for c in df.columns if c not in (text_column, "removed_lines", "removed_chunks")]
+    # The other columns travel in one, so none can clash with the names used here.
     rows = df.select(
-        *[F.col(f"`{c}`") for c in columns],
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row"),
         F.col(f"`{id_column}`").alias("__id"),
         F.col(f"`{text_column}`").cast("string").alias("__text"),
     )
@@ -114,7 +115,7 @@ def without_repeated_chunks(df: DataFrame, id_column: str = "doc_id", text_colum
     left_lines = F.aggregate("__left", F.lit(0), lambda n, c: n + c["size"])
     kept = F.array_join(F.transform("__left", lambda c: c["bytes"]), "\n")
     return cut.select(
-        *[F.col(f"`{c}`") for c in columns],
+        *[F.col("__row").getField(c).alias(c) for c in others],
         F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept).alias(text_column),
         F.coalesce(F.size("__lines") - left_lines, F.lit(0)).cast("long").alias("removed_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_chunks"),

@@ -209,16 +209,20 @@ def without_repeats(
     df: DataFrame, window: int = WINDOW, seed_words: int = SEED_WORDS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """All rows and columns; where words were removed the text is what is left of them, joined by one space."""
-    spans = repeated_spans(narrowed(df, id_column, text_column).where("doc_id is not null"), window, seed_words)
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = df.join(spans, F.col(f"`{id_column}`") == F.col("__id"), "left").drop("__id")
+    docs = narrowed(df, id_column, text_column).where("doc_id is not null")
+    # All columns travel in one, so none can clash with the names used here.
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_column}`").cast("long").alias("doc_id")
+    )
+    joined = rows.join(repeated_spans(docs, window, seed_words), "doc_id", "left").select("row", "spans")
     columns = df.columns
     place = columns.index(text_column)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, text_column):
+        whole = pa.RecordBatch.from_struct_array(batch.column("row")).append_column("\0spans", batch.column("spans"))
+        for part in slices(whole, text_column):
             texts = part.column(text_column).to_pylist()
-            two = pa.RecordBatch.from_arrays([part.column(text_column), part.column("__spans")], ["text", "spans"])
+            two = pa.RecordBatch.from_arrays([part.column(text_column), part.column("\0spans")], ["text", "spans"])
             for i, (words, stays) in enumerate(_kept_words(two, window)):
                 if not stays.all():
                     texts[i] = b" ".join([w for w, s in zip(words, stays.tolist()) if s]).decode()
