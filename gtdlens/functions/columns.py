@@ -127,3 +127,8 @@ def uniform(*parts: Column | str) -> Column:
     """Repeatable number in [0, 1) drawn from the md5 of the parts."""
     text = F.concat_ws(":", *[as_column(p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+def day_from_text(text: Column | str) -> Column:
+    """A date typed as ``yyyy-MM-dd``; anything else is NULL."""
+    return F.to_date(F.try_to_timestamp(F.col(text) if isinstance(text, str) else text, F.lit("yyyy-MM-dd")))

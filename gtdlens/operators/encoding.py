@@ -12,36 +12,34 @@ from pyspark.sql import types as T
 
 Vocabulary = Mapping[str, Sequence[str]]
 
-# Each value becomes a feature, so a longer list means the column is not a category.
-MAX_VALUES = 10_000
+# A missing value is a category of its own, under this text.
+MISSING = "None"
 
 
 def feature_name(column: str, value: str) -> str:
     return f"{column}_{value}"
 
 
-def fit_vocabulary(
-    df: DataFrame, columns: Sequence[str], max_values: int = MAX_VALUES
-) -> dict[str, list[str]]:
-    """Sorted distinct values per column. Numbers sort as numbers. NULL is no category.
+def category_text(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(MISSING))
+
+
+def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per column. Numbers sort as numbers, a missing value last.
 
     One scan for all columns: the (column, value) pairs are combined map-side, so only
-    distinct pairs are shuffled. A column with more than ``max_values`` is refused, and
-    no more than that ever comes to the driver.
+    distinct pairs are shuffled. What comes to the driver is one text per feature of the
+    model, which holds them anyway.
     """
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), category_text(c).alias("value")) for c in columns]
     )
-    values = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
     fitted: dict[str, list[str]] = {c: [] for c in columns}
-    for column, value in values.limit(max_values * len(columns) + 1).collect():
+    for column, value in df.select(F.inline(pairs)).distinct().collect():
         fitted[column].append(value)
-    too_long = [c for c, found in fitted.items() if len(found) > max_values]
-    if too_long:
-        raise ValueError(f"more than {max_values} values in: {', '.join(too_long)}")
     for column, found in fitted.items():
         is_number = isinstance(df.schema[column].dataType, T.NumericType)
-        found.sort(key=float if is_number else None)
+        found.sort(key=lambda v: (v == MISSING, float(v) if is_number and v != MISSING else v))
     return fitted
 
 
@@ -59,8 +57,8 @@ def feature_names(vocabulary: Vocabulary) -> list[str]:
 
 
 def _known(df: DataFrame, column: str, values: Sequence[str]) -> Column:
-    text = F.col(column).cast("string")
-    refusal = F.concat(F.lit(f"unseen value in {column}: "), F.coalesce(text, F.lit("NULL")))
+    text = category_text(column)
+    refusal = F.concat(F.lit(f"unseen value in {column}: "), text)
     return F.when(text.isin(list(values)), F.col(column)).otherwise(F.raise_error(refusal))
 
 
@@ -72,7 +70,7 @@ def onehot(df: DataFrame, vocabulary: Vocabulary, strict: bool = False) -> DataF
     if strict:
         df = df.withColumns({c: _known(df, c, values) for c, values in vocabulary.items()})
     flags = [
-        F.when(F.col(c) == F.lit(v).cast(df.schema[c].dataType), 1.0)
+        F.when(F.col(c).isNull() if v == MISSING else F.col(c) == F.lit(v).cast(df.schema[c].dataType), 1.0)
         .otherwise(0.0)
         .alias(feature_name(c, v))
         for c, values in vocabulary.items()
@@ -128,7 +126,7 @@ def feature_pipeline(
     selected = [
         f"coalesce(cast({c} as double), {float(missing)}D) as {a}"
         for c, a in zip(numbers, number_columns)
-    ] + [f"cast({c} as string) as {a}" for c, a in zip(columns, text_columns)]
+    ] + [f"coalesce(cast({c} as string), '{MISSING}') as {a}" for c, a in zip(columns, text_columns)]
     prepare = SQLTransformer(statement=f"select *, {', '.join(selected)} from __THIS__")
     # One indexer per column: the many-column constructor pads lists of unequal length.
     index = [

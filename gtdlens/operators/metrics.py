@@ -120,8 +120,9 @@ def classification_report(
 
 
 def r_squared(actual: str, predicted: str) -> Column:
-    """Aggregate expression: 1 - residual / total sum of squares, over the pooled rows."""
-    a, p = F.col(actual), F.col(predicted)
+    """Aggregate expression: 1 - residual / total sum of squares, over the rows with both values."""
+    p = F.when(F.col(actual).isNotNull(), F.col(predicted))
+    a = F.when(F.col(predicted).isNotNull(), F.col(actual))
     residual = F.sum((a - p) * (a - p))
     spread = F.var_pop(a) * F.count(a)
     return F.when(spread > 0, 1 - residual / spread)

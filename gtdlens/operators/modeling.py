@@ -28,6 +28,7 @@ PARAMETERS = {
     "colsample_bytree": "featureSubsetStrategy",
     "gamma": "minInfoGain",
     "min_child_weight": "minInstancesPerNode",
+    "max_bins": "maxBins",
 }
 
 
@@ -76,9 +77,13 @@ def encoded(
     label: str,
     keep: Sequence[str] = (),
     strict: bool = False,
+    vocabulary: E.Vocabulary | None = None,
 ) -> tuple[DataFrame, PipelineModel, list[str]]:
-    """Rows as (kept columns, features, label), with the fitted encoder and feature names."""
-    vocabulary = E.fit_vocabulary(rows, categories)
+    """Rows as (kept columns, features, label), with the fitted encoder and feature names.
+
+    The encoder is fitted on these rows unless a vocabulary is given.
+    """
+    vocabulary = vocabulary or E.fit_vocabulary(rows, categories)
     encoder, names = E.fit_feature_pipeline(rows, vocabulary, numbers, strict)
     data = encoder.transform(rows).select(
         *keep, "features", F.col(label).cast("double").alias("label")
@@ -134,7 +139,9 @@ def out_of_window(
         if train.isEmpty() or valid.isEmpty():
             continue
         model = fit(train)
-        parts.append(model.transform(valid).withColumn("window_id", F.lit(w.window_id)))
+        window = F.lit(w.window_id)
+        # Fold metrics over windows are per window, whatever folds the table had.
+        parts.append(model.transform(valid).withColumn("window_id", window).withColumn("fold", window))
     if not parts:
         raise ValueError("no window has both training and validation rows")
     pooled = reduce(DataFrame.unionByName, parts)

@@ -36,7 +36,7 @@ def balanced(
     (minority, few), (_, many) = sorted(counts.items(), key=lambda c: (c[1], c[0]))
     original = train.select(features, label).withColumn("synthetic", F.lit(False))
     if few == many:
-        return original
+        return write_once(original, "balanced")
     if few <= neighbours:
         raise ValueError(f"{few} minority rows, more than {neighbours} needed")
     x = vector_to_array(features)
@@ -56,12 +56,16 @@ def balanced(
 
 
 def _points(rows: DataFrame) -> DataFrame:
-    """Equal rows become one point, so many copies of a row cost no more than one."""
+    """Equal rows become one point, so many copies of a row cost no more than one.
+
+    The point's number comes from its values, so points at equal distances are taken in the same
+    order however the rows are laid out.
+    """
     distinct = rows.groupBy("point_key").agg(
         F.first("x").alias("x"), F.count("*").alias("copies")
     )
     return write_once(
-        distinct.withColumn("point_id", F.monotonically_increasing_id()), "points"
+        distinct.withColumn("point_id", F.xxhash64("point_key")), "points"
     )
 
 

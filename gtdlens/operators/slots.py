@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from gtdlens.session import write_once
+
 SLOT_KEY = ["start_date_local", "start_hour_local"]
 HOURS_PER_DAY = 24
-# A slot row takes well under 100 bytes in a broadcast relation: 50 MB at most.
-BROADCAST_SLOTS = 500_000
 
 
 def selected(
@@ -34,14 +34,15 @@ def selected(
 
 
 def hour_slot_counts(rows: DataFrame) -> DataFrame:
-    """Tournaments per (date, hour). Map-side combine leaves at most 24 rows per date."""
-    return rows.groupBy(*SLOT_KEY).agg(F.count("*").alias("same_hour_game"))
+    """Tournaments per (date, hour), combined map-side. A timestamp counts for its date."""
+    day = F.col("start_date_local").cast("date").alias("start_date_local")
+    return rows.groupBy(day, "start_hour_local").agg(F.count("*").alias("same_hour_game"))
 
 
 def hour_band_counts(counts: DataFrame) -> DataFrame:
     """Add the tournaments of the hour before, the hour itself and the hour after.
 
-    The frame stays inside one date, so each window holds at most 24 rows. A missing
+    The frame stays inside one date, so each window holds one row per hour. A missing
     hour has no neighbours.
     """
     band = Window.partitionBy("start_date_local").orderBy("start_hour_local").rangeBetween(-1, 1)
@@ -96,30 +97,17 @@ def hour_slot_lookup(counts: DataFrame) -> DataFrame:
     )
 
 
-def hour_of_day(hour: Column) -> Column:
-    """The hour itself; anything outside one day is refused, which bounds the slots per date."""
-    return F.when(hour.isNull() | hour.between(0, HOURS_PER_DAY - 1), hour).otherwise(
-        F.raise_error(F.concat(F.lit("hour of day out of range: "), hour.cast("string")))
-    )
-
-
-def slots_fit_broadcast(first_day: date | None, last_day: date | None) -> bool:
-    if first_day is None or last_day is None:
-        return False
-    days = max((last_day - first_day).days + 1, 0)
-    return days * HOURS_PER_DAY <= BROADCAST_SLOTS
-
-
-def with_slot_counts(
-    rows: DataFrame, slots: DataFrame, first_day: date | None = None, last_day: date | None = None
-) -> DataFrame:
+def with_slot_counts(rows: DataFrame, slots: DataFrame) -> DataFrame:
     """Attach the slot counts to each row; rows without a slot keep NULL counts.
 
-    A closed date range bounds the slots to 24 per day, and a small enough range is
-    broadcast: the fact is then never shuffled, however many of its rows share one
-    slot. Longer or open ranges are joined by shuffle, where AQE splits a hot slot.
+    The slots are written first, so the plan knows their real size: a table below Spark's
+    broadcast threshold is broadcast and the wide rows are never shuffled, a larger one is
+    joined by shuffle, where AQE splits a hot slot. Hours and periods of any extent get the
+    same answer either way.
     """
-    if slots_fit_broadcast(first_day, last_day):
-        bounded = slots.withColumn("start_hour_local", hour_of_day(F.col("start_hour_local")))
-        slots = F.broadcast(bounded)
-    return rows.join(slots, SLOT_KEY, "left")
+    key = {"start_date_local": "__slot_day", "start_hour_local": "__slot_hour"}
+    written = write_once(slots.withColumnsRenamed(key), "slots")
+    met = (F.col("start_date_local").cast("date") == F.col("__slot_day")) & (
+        F.col("start_hour_local") == F.col("__slot_hour")
+    )
+    return rows.join(written, met, "left").drop(*key.values())

@@ -25,13 +25,13 @@ SHORTEST = "00:05:00"
 
 def regressor_extract(
     fact: DataFrame,
-    first_day: date,
-    last_day: date,
+    first_day: date | None,
+    last_day: date | None,
     kind: str = HOLDEM,
     classes: Sequence[str] = SMALL_CLASSES,
     by_join: bool = False,
 ) -> DataFrame:
-    """One row per tournament of the period, with the two slot counts.
+    """One row per tournament of the period, with the two slot counts. Either end may be open.
 
     The counts cover whole dates, so limiting them to the period as well changes no
     row; Spark cannot always carry the limit across the join, so it is stated twice.
@@ -40,7 +40,7 @@ def regressor_extract(
     rows = S.selected(fact, kind, classes, first_day, last_day)
     counts = S.hour_slot_counts(rows)
     bands = S.hour_band_counts_joined(counts) if by_join else S.hour_band_counts(counts)
-    return S.with_slot_counts(rows, bands, first_day, last_day).select(
+    return S.with_slot_counts(rows, bands).select(
         "match_id",
         "start_date_local",
         "start_hour_local",
@@ -71,12 +71,7 @@ def regressor_extract(
 
 
 def regressor_extract_sql(fact: DataFrame, first_day: date, last_day: date) -> DataFrame:
-    """The same extract from its SQL text, with the period as parameters.
-
-    The text broadcasts the slots, so a period too long for that takes the other form.
-    """
-    if not S.slots_fit_broadcast(first_day, last_day):
-        return regressor_extract(fact, first_day, last_day)
+    """The same extract from its SQL text, with the period as parameters."""
     period = {"init_date": first_day, "end_date": last_day}
     return run_sql_file(fact.sparkSession, REGRESSOR_SQL, period, tournaments=fact)
 
@@ -141,8 +136,10 @@ def constrained_extract(
     )
 
 
-def product_facts(products: DataFrame, keep: Column, with_start: bool = False) -> DataFrame:
-    """Distinct products with their buckets, rounded amounts and label."""
+def product_facts(
+    products: DataFrame, keep: Column, with_start: bool = False, more: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct products with their buckets, rounded amounts and label, and ``more`` columns."""
     start = F.col("date_start_time_match_utc_local")
     return (
         products.where(keep)
@@ -162,6 +159,7 @@ def product_facts(products: DataFrame, keep: Column, with_start: bool = False) -
             C.overlay_percent("overlay_match", "gtd_match").alias("overlay_perc"),
             C.overlay_label("overlay_match").alias("overlay_match_bi"),
             "duration_match",
+            *more,
         )
         .distinct()
     )

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from gtdlens.functions import columns as C
 from gtdlens.operators import metrics as M
 from gtdlens.operators.quantiles import quantiles_of
-from gtdlens.sources.tables import read_csv
 from gtdlens.schemas import IMPORTANCES
+from gtdlens.session import write_once
+from gtdlens.sources.tables import read_csv
 
 DAY = "start_date_local"
 
@@ -47,13 +48,14 @@ def daily_result_gap(scored: DataFrame) -> DataFrame:
 
     Both sums come from one aggregate: a conditional sum is NULL on a day without a
     kept tournament, just as a left join to a second aggregate would leave it. The
-    difference is then NULL too.
+    difference is then NULL too. Rows without a day belong to none.
     """
     keep = ~F.col("has_overlay_pred")
     kept_rows = F.count(F.when(keep, 1))
     kept_sum = F.sum(F.when(keep, F.coalesce("mtt_result", F.lit(0.0))))
     return (
-        scored.groupBy(DAY)
+        scored.where(F.col(DAY).isNotNull())
+        .groupBy(DAY)
         .agg(
             F.coalesce(F.sum("mtt_result"), F.lit(0.0)).alias("actual_result"),
             F.when(kept_rows > 0, kept_sum).alias("predicted_result"),
@@ -76,7 +78,8 @@ def daily_profit_breakdown(scored: DataFrame) -> DataFrame:
 
     kept_rows = F.count(F.when(~flagged, 1))
     return (
-        scored.groupBy(DAY)
+        scored.where(F.col(DAY).isNotNull())
+        .groupBy(DAY)
         .agg(
             total(overlay).alias("total_overlay_actual"),
             total(overlay & flagged).alias("total_overlay_pred"),
@@ -94,14 +97,17 @@ def overlay_confusion(scored: DataFrame) -> DataFrame:
 
 
 def error_summary(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
-    """Mean, median and box plot of the absolute error on the amount and on the result."""
-    return M.box_statistics(
-        scored,
-        {
-            "collected": C.absolute_error("collected", prediction),
-            "mtt_result": C.absolute_error("mtt_result", "result_pred"),
-        },
-    )
+    """Mean, median and box plot of the absolute error on the amount and on the result.
+
+    The two errors are written once: the searches for medians pass over them several times,
+    and scored rows would be predicted again on each pass.
+    """
+    errors = {
+        "collected": C.absolute_error("collected", prediction),
+        "mtt_result": C.absolute_error("mtt_result", "result_pred"),
+    }
+    written = write_once(scored.select(*[e.alias(name) for name, e in errors.items()]), "errors")
+    return M.box_statistics(written, {name: F.col(name) for name in errors})
 
 
 def chart_rows(
@@ -125,6 +131,7 @@ def normalised_errors(
 def normalised_error_summary(errors: DataFrame) -> DataFrame:
     """Mean and median of the scaled error and of the plain absolute error."""
     series = ("absolute_difference", "normalised_error")
+    errors = write_once(errors.select(*series), "errors")
     means = errors.agg(*[F.avg(c).alias(c) for c in series]).first()
     medians = quantiles_of(errors, {c: c for c in series}, [0.5])
     row = tuple(v for c in series for v in (means[c], medians[c][0]))
@@ -140,7 +147,8 @@ def ranked_importances(importances: DataFrame) -> DataFrame:
 
 
 def importances_from_csv(spark, path: str) -> DataFrame:
-    return ranked_importances(read_csv(spark, path, IMPORTANCES))
+    # The table's header is that of an unnamed series: an empty name and a number.
+    return ranked_importances(read_csv(spark, path, IMPORTANCES, by_position=True))
 
 
 def best_trial(trials: DataFrame, score: str, trial_id: str = "trial_id", largest: bool = False) -> DataFrame:

@@ -103,7 +103,10 @@ def prepared_regressor_data(
 def prepared_classifier_data(
     rows: DataFrame, folds: int
 ) -> tuple[DataFrame, PipelineModel, list[str]]:
-    """As above for the classifier: rows labelled 0 or 1, in runs of the id order."""
+    """As above for the classifier: rows labelled 0 or 1, in runs of the id order.
+
+    The encoder knows the categories of all rows, also of those without a usable label.
+    """
     usable = Mo.binary_labels(rows, schemas.CLASSIFIER_LABEL)
     data, encoder, names = Mo.encoded(
         usable,
@@ -112,6 +115,7 @@ def prepared_classifier_data(
         schemas.CLASSIFIER_LABEL,
         keep=["id_match"],
         strict=True,
+        vocabulary=E.fit_vocabulary(rows, schemas.CLASSIFIER_CATEGORIES),
     )
     # The ranked rows are already a written table.
     return splits.contiguous_folds(data, ["id_match"], folds), encoder, names
@@ -119,9 +123,12 @@ def prepared_classifier_data(
 
 @dataclass
 class WindowModel:
+    """A window's model; without training rows it has none."""
+
     window: splits.CalendarWindow
-    path: str
-    best: tuning.Outcome
+    train_rows: int
+    path: str | None = None
+    best: tuning.Outcome | None = None
 
 
 def tune_windows(
@@ -136,14 +143,17 @@ def tune_windows(
 ) -> tuple[list[WindowModel], DataFrame]:
     """Tune, refit and save one model per window, and score its validation interval.
 
-    The search minimises the mean of the fold errors. Windows without training rows are
-    passed over.
+    The search minimises the mean of the fold errors. Every window is returned with its
+    number of training rows; one without any has no model. The validation interval is
+    scored with the model as it was saved.
     """
     day = F.col("start_date_local")
     fitted, scored = [], []
     for w in windows:
         train = data.where(day.between(F.lit(w.train_start), F.lit(w.train_end)))
-        if train.isEmpty():
+        n = train.count()
+        if not n:
+            fitted.append(WindowModel(w, 0))
             continue
         train = splits.hashed_folds(train.drop("fold"), ["match_id"], folds, seed)
         tuned = tune(
@@ -151,10 +161,10 @@ def tune_windows(
         )
         path = period_path(root, w.label)
         save_model(Mo.joined_pipeline(encoder, tuned.model), path)
-        fitted.append(WindowModel(w, path, tuned.best))
+        fitted.append(WindowModel(w, n, path, tuned.best))
         valid = data.where(day.between(F.lit(w.valid_start), F.lit(w.valid_end)))
         scored.append(
-            tuned.model.transform(valid).select(
+            load_model(path).stages[-1].transform(valid).select(
                 F.lit(w.window_id).alias("window_id"),
                 F.lit(w.label).alias("period"),
                 "match_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import SparkSession
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -16,9 +17,21 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-@lru_cache(maxsize=16)
 def cached_model(path: str) -> PipelineModel:
-    """A model that is asked for again and again, as in an interactive session."""
+    """A model that is asked for again and again, as in an interactive session.
+
+    A saved model is known by its path, when it was written and the session that loaded it,
+    so an overwritten one is loaded anew.
+    """
+    spark = SparkSession.getActiveSession()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path, "metadata")
+    status = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    written = max(file.getModificationTime() for file in status)
+    return _loaded(path, written, spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=16)
+def _loaded(path: str, written: int, session: str) -> PipelineModel:
     return load_model(path)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -15,24 +16,48 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return df if schema is None else conform(df, schema)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the columns of a schema by name (any case) and cast them to its types."""
+def conform(df: DataFrame, schema: T.StructType, pad: bool = False) -> DataFrame:
+    """Select the columns of a schema by name (any case) and cast them to its types.
+
+    With ``pad`` an absent column becomes NULL; otherwise it is an error.
+    """
     have = {name.lower() for name in df.columns}
     missing = [f.name for f in schema if f.name.lower() not in have]
-    if missing:
+    if missing and not pad:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(
+        [
+            (F.lit(None) if f.name in missing else df[f.name]).cast(f.dataType).alias(f.name)
+            for f in schema
+        ]
+    )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header line. The schema is required: inferring it reads the file twice."""
-    return (
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, pad: bool = False, by_position: bool = False
+) -> DataFrame:
+    """CSV with a header line, its columns taken by name and cast to the schema's types.
+
+    Only the header line is read to learn the names. Files of one folder must share it, and
+    a value that does not fit its type is an error. ``by_position`` is for files whose
+    header does not name the columns.
+    """
+    texts = spark.read.option("header", True).csv(path).schema
+    if by_position:
+        rows = spark.read.option("header", True).option("mode", "FAILFAST").schema(texts).csv(path)
+        return conform(rows.toDF(*schema.names), schema)
+    rows = (
         spark.read.option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .schema(schema)
+        .schema(texts)
         .csv(path)
     )
+    return conform(rows, schema, pad)
+
+
+def header_columns(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.option("header", True).csv(path).columns
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -1,16 +1,23 @@
 """Scoring of uploaded CSV files as they arrive.
 
-Scoring keeps no state, so the batch plan runs on a stream as it is.
+Scoring keeps no state, so each uploaded file goes through the batch plan as it is.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gtdlens.plans.training import score
+from gtdlens.sources.models import load_model
+from gtdlens.sources.tables import header_columns, read_csv, write_csv
+
+FILES_PER_BATCH = 100
 
 
 def score_uploads(
@@ -21,14 +28,39 @@ def score_uploads(
     results: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Score every CSV file put into ``uploads`` once, and write CSV to ``results``."""
-    rows = spark.readStream.schema(schema).option("header", True).csv(uploads)
+    """Score every CSV file put into ``uploads`` once, and write CSV to ``results``.
+
+    The stream carries file names only, so that each file's columns can be taken by its own
+    header; a column of the schema that a file lacks is padded as in batch scoring. A batch
+    writes its own folder, so a repeated one replaces it.
+    """
+    fitted = load_model(model) if isinstance(model, str) else model
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", "*.csv")
+        .option("maxFilesPerTrigger", FILES_PER_BATCH)
+        .load(uploads)
+        .select("path")
+    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        scored = [scored_file(spark, fitted, schema, row["path"]) for row in batch.collect()]
+        if scored:
+            write_csv(reduce(DataFrame.unionByName, scored), f"{results}/batch={number}", "overwrite")
+
     return (
-        score(rows, model)
-        .writeStream.format("csv")
-        .option("header", True)
-        .option("path", results)
+        files.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def scored_file(spark: SparkSession, model: PipelineModel | str, schema: T.StructType, path: str) -> DataFrame:
+    """One CSV file, scored. Columns the file lacks are left to the scoring, then NULL."""
+    have = {name.lower() for name in header_columns(spark, path)}
+    there = T.StructType([f for f in schema if f.name.lower() in have])
+    scored = score(read_csv(spark, path, there), model)
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name.lower() not in have}
+    return scored.withColumns(absent) if absent else scored

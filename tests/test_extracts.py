@@ -82,29 +82,48 @@ def test_extract_edges(spark):
     assert found == {1: (3, 1, 1), 2: (3, None, None), 4: (3, 1, 1)}
 
 
-def test_impossible_hour_is_refused_before_a_broadcast(spark):
-    rows = fact(spark, one_tournament(start_hour_local=24))
-    with pytest.raises(PySparkException, match="hour of day out of range"):
-        X.regressor_extract(rows, DAY, NEXT).collect()
+def test_hours_outside_the_day_count_like_others(spark):
+    rows = fact(
+        spark,
+        one_tournament(match_id=1, start_hour_local=23),
+        one_tournament(match_id=2, start_hour_local=24),
+        one_tournament(match_id=3, start_hour_local=-1),
+    )
+    for period in ((DAY, NEXT), (date(1800, 1, 1), date(2300, 1, 1)), (None, None)):
+        for by_join in (False, True):
+            found = X.regressor_extract(rows, *period, by_join=by_join).collect()
+            counts = {r["match_id"]: (r["same_hour_game"], r["one_hour_window_game"]) for r in found}
+            assert counts == {1: (1, 2), 2: (1, 2), 3: (1, 1)}
 
 
-def test_long_period_is_joined_by_shuffle(spark, small, capsys):
+def test_long_period_gives_the_same_rows(spark, small):
     rows = V.tournaments(spark, small)
     near, far = date(2024, 1, 1), date(2024, 12, 31)
-    assert S.slots_fit_broadcast(near, far) and not S.slots_fit_broadcast(date(1900, 1, 1), date(2024, 1, 1))
-    assert not S.slots_fit_broadcast(None, far)
     short = X.regressor_extract(rows, near, far)
     long = X.regressor_extract(rows, date(1900, 1, 1), far)
     assert short.exceptAll(long).isEmpty() and long.exceptAll(short).isEmpty()
     assert X.regressor_extract_sql(rows, date(1900, 1, 1), far).exceptAll(short).isEmpty()
 
 
+def test_small_slots_leave_the_wide_rows_unshuffled(spark, small):
+    extract = X.regressor_extract(V.tournaments(spark, small), date(2024, 1, 1), date(2024, 12, 31))
+    plan = extract._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        large = X.regressor_extract(V.tournaments(spark, small), date(2024, 1, 1), date(2024, 12, 31))
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert large.exceptAll(extract).isEmpty() and extract.exceptAll(large).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_extract_plan(spark, small, capsys):
     X.regressor_extract(V.tournaments(spark, small), date(2023, 1, 1), date(2024, 12, 31)).explain()
     plan = capsys.readouterr().out
-    # Two scans, the slots broadcast, and only slot rows shuffled.
+    # One scan of the table and one of the written slots, which are broadcast: no wide row is shuffled.
     assert plan.count("FileScan parquet") == 2 and "BroadcastHashJoin" in plan
-    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     assert "PushedFilters: [IsNotNull(ts)" in plan
 
 
@@ -175,9 +194,8 @@ def test_lookups(spark):
     assert [(r["id_match"], r["buyin_price"]) for r in exact] == [(1, 5.5)]
     similar = L.similar_matches(products, prices, scenario, L.Ranges(gtd_match=(50, 60))).collect()
     assert sorted((r["id_match"], r["buyin_price"]) for r in similar) == [(1, 5.5), (1, 9.0), (2, 5.5)]
-    for limit in (0, 100):
-        again = L.similar_matches(products, prices, scenario, L.Ranges(gtd_match=(50, 60)), limit)
-        assert sorted(again.collect()) == sorted(similar)
+    again = L.similar_matches(products, prices, scenario, L.Ranges(gtd_match=(50, 60)), measured=True)
+    assert sorted(again.collect()) == sorted(similar)
     # User text is no pattern and no SQL.
     for text in ("%", "MTT' OR '1'='1"):
         assert L.exact_matches(products, prices, L.Scenario(text, "Low", "friday", "morning")).isEmpty()

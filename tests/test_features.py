@@ -16,14 +16,20 @@ def rows(spark):
 
 def test_vocabulary_order(spark, rows):
     vocabulary = E.fit_vocabulary(rows, ["hour", "kind"])
-    assert vocabulary == {"hour": ["1", "2", "10"], "kind": ["a", "b"]}
+    # A missing value is a category of its own and sorts last.
+    assert vocabulary == {"hour": ["1", "2", "10"], "kind": ["a", "b", "None"]}
     table = E.vocabulary_table(spark, vocabulary).collect()
-    assert [r["feature_name"] for r in table] == ["hour_1", "hour_2", "hour_10", "kind_a", "kind_b"]
+    names = [r["feature_name"] for r in table]
+    assert names == ["hour_1", "hour_2", "hour_10", "kind_a", "kind_b", "kind_None"]
 
 
-def test_vocabulary_refuses_what_is_no_category(spark):
-    with pytest.raises(ValueError, match="id"):
-        E.fit_vocabulary(spark.range(50), ["id"], max_values=10)
+def test_vocabulary_takes_every_value_and_the_missing_one(spark):
+    assert len(E.fit_vocabulary(spark.range(12_000), ["id"])["id"]) == 12_000
+    df = spark.createDataFrame([(2,), (None,), (10,)], "n int")
+    vocabulary = E.fit_vocabulary(df, ["n"])
+    assert vocabulary == {"n": ["2", "10", "None"]}
+    flags = E.onehot(df, vocabulary, strict=True).collect()
+    assert sorted(tuple(r) for r in flags) == [(0.0, 0.0, 1.0), (0.0, 1.0, 0.0), (1.0, 0.0, 0.0)]
 
 
 def test_lenient_zeros_and_strict_error(rows):

@@ -69,6 +69,10 @@ def test_saved_model_scores_the_same(spark, rows, prepared, tmp_path):
     assert before.exceptAll(after).isEmpty()
     assert set(after.columns) == {*rows.columns, "prediction", "result_pred", "has_overlay_pred"}
     assert models.cached_model(path) is models.cached_model(path)
+    fewer = Mo.joined_pipeline(encoder, Mo.fit_regressor(data, QUICK | {"n_estimators": 2}))
+    models.save_model(fewer, path)
+    assert models.cached_model(path).stages[-1].getNumTrees == 2
+    models.save_model(model, path)
     # A batch with an unseen category, a lacking column and no labels still gets scores.
     odd = rows.withColumn("ko_type", F.lit("Satellite")).drop("same_hour_game", "collected")
     assert Tr.score(odd, path).where("prediction is null").isEmpty()
@@ -86,6 +90,54 @@ def test_uploads_are_scored(spark, rows, prepared, tmp_path):
     assert found.count() == rows.count() and "has_overlay_pred" in found.columns
 
 
+def test_uploads_are_taken_by_their_header(spark, rows, prepared, tmp_path):
+    """Files in other column orders, one without a column: the same scores as in one batch."""
+    data, encoder, _ = prepared
+    model = Mo.joined_pipeline(encoder, Mo.fit_regressor(data, QUICK))
+    folders = [str(tmp_path / n) for n in ("in", "out", "progress")]
+    even, odd = rows.where("match_id % 2 = 0"), rows.where("match_id % 2 = 1")
+    even.select(*reversed(rows.columns)).coalesce(1).write.option("header", True).csv(folders[0])
+    odd.drop("earlybird").coalesce(1).write.mode("append").option("header", True).csv(folders[0])
+    score_uploads(spark, model, rows.schema, *folders).awaitTermination()
+    found = spark.read.option("header", True).csv(folders[1])
+    expected = Tr.score(even, model).select("match_id", "prediction").unionByName(
+        Tr.score(odd.drop("earlybird"), model).select("match_id", "prediction")
+    )
+    got = found.selectExpr("cast(match_id as long) as match_id", "cast(prediction as double) as prediction")
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+
+
+def test_over_sampling_does_not_depend_on_the_layout(spark):
+    """Points on a grid have many equal distances; the same rows come out for any number of partitions."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from gtdlens.operators.resample import balanced
+
+    grid = [(i, [float(i % 5), float(i % 7), float(i % 3)], float(i % 6 == 0)) for i in range(600)]
+    df = spark.createDataFrame(grid, "id long, x array<double>, label double")
+    df = df.select("id", array_to_vector("x").alias("features"), "label")
+    results = []
+    for partitions in (3, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        made = balanced(df.repartition(partitions), ["id"]).where("synthetic")
+        results.append(sorted(map(str, made.select(vector_to_array("features")).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] == results[2] and len(results[0]) == 400
+
+
+def test_folds_over_windows_are_the_windows(spark, tmp_path):
+    extract = X.regressor_extract(
+        V.yearly_tournaments(spark, "/root/testdata/sf0.001"), None, None, classes=Q.ALL_CLASSES
+    )
+    data, _, _ = Tr.prepared_regressor_data(extract, 2, by_day=True)
+    windows = splits.rolling_windows(date(1998, 1, 1), date(1999, 1, 1), 33, 6, 6)
+    scored, _ = Mo.out_of_window(data, lambda t: Mo.fit_regressor(t, {"n_estimators": 2, "max_depth": 2}), windows)
+    assert scored.where("fold <> window_id").isEmpty()
+    per_window = scored.groupBy("window_id").agg(F.avg("absolute_difference").alias("e"))
+    expected = per_window.agg(F.avg("e")).first()[0]
+    assert abs(tuning.mean_fold_mae(scored) - expected) < 1e-9
+
+
 def test_search_and_refit(spark, prepared):
     data, _, _ = prepared
     table = tuning.trial_table(spark, 2, Q.QUICK_SPACE)
@@ -130,11 +182,12 @@ def test_window_models_are_saved(spark, tmp_path):
     )
     trials = [{"trial_id": 0, "n_estimators": 2, "max_depth": 2}]
     fitted, scored = Tr.tune_windows(data, encoder, windows, trials, str(tmp_path), folds=2)
-    # The first window lies before all rows.
-    assert [f.path for f in fitted] == [f"{tmp_path}/period=1998-02-28_to_1999-02-27"]
+    # The first window lies before all rows: it has no model, but is not lost.
+    assert [f.path for f in fitted] == [None, f"{tmp_path}/period=1998-02-28_to_1999-02-27"]
+    assert fitted[0].train_rows == 0 < fitted[1].train_rows
     days = scored.agg(F.min("start_date_local"), F.max("start_date_local")).first()
     assert date(1999, 1, 31) <= days[0] and days[1] <= date(1999, 2, 27)
-    assert Tr.score(extract, fitted[0].path).count() == extract.count()
+    assert Tr.score(extract, fitted[1].path).count() == extract.count()
     with pytest.raises(ValueError, match="no window"):
         Mo.out_of_window(data, lambda t: Mo.fit_regressor(t, QUICK), windows[:1])
 
