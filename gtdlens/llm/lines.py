@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gtdlens.session import write_once
+
 WINDOW = 2
 DIVISOR = 3
 PRIME = 1_000_000_007
@@ -28,9 +30,12 @@ def line_array(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunk_ends(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
+def line_hashes(lines: Column) -> Column:
+    return F.transform(lines, lambda line: F.pmod(F.xxhash64(line), F.lit(PRIME)))
+
+
+def chunk_ends(hashes: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
     """Index of the last line of each chunk."""
-    hashes = F.transform(lines, lambda line: F.pmod(F.xxhash64(line), F.lit(PRIME)))
 
     def rolled(i: Column) -> Column:
         total: Column = F.lit(0).cast("long")
@@ -38,7 +43,7 @@ def chunk_ends(lines: Column, window: int = WINDOW, divisor: int = DIVISOR) -> C
             total = total * 31 + F.coalesce(F.get(hashes, i - back), F.lit(0).cast("long"))
         return F.xxhash64(total)
 
-    last = F.size(lines) - 1
+    last = F.size(hashes) - 1
     return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
 
 
@@ -58,21 +63,32 @@ def chunk_array(lines: Column, ends: Column) -> Column:
     return F.transform(ends, chunk)
 
 
+def _cut(rows: DataFrame, text: Column) -> DataFrame:
+    """Add the lines, their hashes and the chunk ends. Each is a column of its own: a lambda that held the whole
+    expression would evaluate it again for every line."""
+    with_lines = rows.withColumn("__lines", line_array(text))
+    with_hashes = with_lines.withColumn("__hashes", line_hashes(F.col("__lines")))
+    return with_hashes.withColumn("__ends", chunk_ends(F.col("__hashes")))
+
+
 def _chunks(rows: DataFrame, *carried: str) -> DataFrame:
     """One row per chunk with two lines at least that are not blank."""
-    with_lines = rows.where("__text is not null and __id is not null").withColumn("__lines", line_array(F.col("__text")))
-    with_ends = with_lines.withColumn("__ends", chunk_ends(F.col("__lines")))
-    exploded = with_ends.select("__id", *carried, F.explode(chunk_array(F.col("__lines"), F.col("__ends"))).alias("c"))
+    cut = _cut(rows.where("__text is not null and __id is not null"), F.col("__text"))
+    exploded = cut.select("__id", *carried, F.explode(chunk_array(F.col("__lines"), F.col("__ends"))).alias("c"))
     several = F.size(F.filter(F.split("c.bytes", "\n", -1), lambda line: F.trim(line) != "")) >= 2
     return exploded.where(several)
 
 
 def repeated_chunks(rows: DataFrame) -> DataFrame:
     """Per id the numbers of its chunks that equal a chunk found earlier, and the lines they hold."""
-    keyed = _chunks(rows).select(
-        "__id", F.col("c.chunk").alias("__chunk"), F.xxhash64("c.bytes").alias("__hash"), F.length("c.bytes").alias("__n")
+    keyed = write_once(
+        _chunks(rows).select(
+            "__id", F.col("c.chunk").alias("__chunk"), F.xxhash64("c.bytes").alias("__hash"), F.length("c.bytes").alias("__n")
+        ),
+        "chunks",
     )
-    found_twice = keyed.groupBy("__hash", "__n").count().where("count > 1").select("__hash", "__n")
+    # Written, so that the join below reads plain shuffles and a hot chunk's rows can be split.
+    found_twice = write_once(keyed.groupBy("__hash", "__n").count().where("count > 1").select("__hash", "__n"), "twice")
     candidates = (
         keyed.join(found_twice, ["__hash", "__n"]).groupBy("__id").agg(F.collect_set("__chunk").alias("__candidates"))
     )
@@ -105,11 +121,9 @@ def without_repeated_chunks(df: DataFrame, id_column: str = "doc_id", text_colum
         F.col(f"`{text_column}`").cast("string").alias("__text"),
     )
     joined = rows.join(repeated_chunks(rows.select("__id", "__text")), "__id", "left")
-    lines = line_array(F.col("__text"))
-    ends = chunk_ends(F.col("__lines"))
     cut = (
-        joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
-        .withColumn("__chunks", chunk_array(F.col("__lines"), ends))
+        _cut(joined, F.when(F.col("__gone").isNotNull(), F.col("__text")))
+        .withColumn("__chunks", chunk_array(F.col("__lines"), F.col("__ends")))
         .withColumn("__left", F.filter("__chunks", lambda c: ~F.array_contains(F.col("__gone"), c["chunk"])))
     )
     left_lines = F.aggregate("__left", F.lit(0), lambda n, c: n + c["size"])
