@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ from gtdlens.session import write_once
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELL_POINTS = 2_048
-# Bounds both the split planes and the boxes that go to every executor.
-MAX_CELLS = 4_096
+# The boxes that go to every executor: two numbers per cell and dimension, 64 MB at most. Beyond
+# that the cells hold more points, which are still searched block by block.
+MAX_BOX_NUMBERS = 8_000_000
 BLOCK_POINTS = 4_096
 SAMPLE_PER_CELL = 8
 
@@ -89,43 +91,50 @@ def split_cells(sample: np.ndarray, cells: int) -> Cells:
 
 def nearest_in_block(
     queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, point_ids: np.ndarray, k: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+) -> tuple[np.ndarray, np.ndarray]:
     """Per query: the distances and positions of its k nearest points, itself left out.
 
-    Equal distances are ordered by point id.
+    Equal distances are ordered by point id. Where there are fewer than k the distance is infinite.
     """
+    by_id = np.argsort(point_ids, kind="stable")
+    points, ids = points[by_id], point_ids[by_id]
+    width = min(k, len(points))
+    gaps_found = np.empty((len(queries), width))
+    places = np.empty((len(queries), width), dtype=np.int64)
     step = max(1, 2_000_000 // max(points.size, 1))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
         gaps = np.sqrt(((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-        gaps[query_ids[start : start + step, None] == point_ids[None, :]] = np.inf
-        for row in gaps:
-            if len(row) > k:
-                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-            else:
-                near = np.arange(len(row))
-            near = near[np.isfinite(row[near])]
-            order = np.lexsort((point_ids[near], row[near]))[:k]
-            yield row[near[order]], near[order]
+        gaps[query_ids[start : start + step, None] == ids[None, :]] = np.inf
+        # The points stand in the order of their ids, which a stable sort keeps among equals.
+        near = np.argsort(gaps, axis=1, kind="stable")[:, :width]
+        gaps_found[start : start + step] = np.take_along_axis(gaps, near, axis=1)
+        places[start : start + step] = by_id[near]
+    return gaps_found, places
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    flat = lists.combine_chunks()
+    return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
 def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """k nearest points of each (query, cell), block against block."""
 
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            ids, copies = right["point_id"].to_numpy(), right["copies"].to_numpy()
-            near = nearest_in_block(
-                np.stack(left["query_x"]), left["query_id"].to_numpy(), np.stack(right["x"]), ids, k
-            )
-            for query, (gaps, at) in zip(left["query_id"], near):
-                rows = [
-                    {"distance": g, "point_id": i, "copies": c}
-                    for g, i, c in zip(gaps, ids[at], copies[at])
-                ]
-                found.append((query, rows))
-        return pd.DataFrame(found, columns=["point_id", "near"])
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["distance", "point_id", "copies"]
+        if not left.num_rows or not right.num_rows:
+            struct = pa.struct(list(zip(names, [pa.float64(), pa.int64(), pa.int64()])))
+            return pa.table({"point_id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(struct))})
+        ids, copies = (right[c].to_numpy() for c in ("point_id", "copies"))
+        asked = left["query_id"].to_numpy()
+        gaps, at = nearest_in_block(_matrix(left["query_x"]), asked, _matrix(right["x"]), ids, k)
+        there = np.isfinite(gaps)
+        entries = pa.StructArray.from_arrays(
+            [pa.array(gaps[there]), pa.array(ids[at[there]]), pa.array(copies[at[there]])], names=names
+        )
+        bounds = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]), pa.int32())
+        return pa.table({"point_id": asked, "near": pa.ListArray.from_arrays(bounds, entries)})
 
     sizes = points.groupBy("cell").agg(F.count("*").alias("__points"))
     asked = queries.groupBy("cell").agg(F.count("*").alias("__queries"))
@@ -155,7 +164,7 @@ def _search(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(block, f"point_id bigint, near {NEAR}")
+        .applyInArrow(block, f"point_id bigint, near {NEAR}")
     )
 
 
@@ -201,12 +210,16 @@ def nearest_points(
     """
     spark = points.sparkSession
     total = points.count()
-    cells = int(min(MAX_CELLS, max(1, -(-total // cell_points))))
-    wanted = cells * SAMPLE_PER_CELL
-    # The sample only shapes the cells; every point is searched whatever it holds.
-    share = min(1.0, 2 * wanted / max(total, 1))
-    sample = points.select("x").sample(fraction=share, seed=7).limit(wanted).toPandas()["x"]
     width = len(points.select("x").first()["x"])
+    cells = int(max(1, min(MAX_BOX_NUMBERS // (2 * width), -(-total // cell_points))))
+    wanted = cells * SAMPLE_PER_CELL
+    # The sample only shapes the cells; every point is searched whatever it holds. A hash draws it,
+    # so neither the order of the rows nor their layout matters.
+    chance = F.pmod(F.xxhash64("point_id"), F.lit(1 << 30)) < F.lit(
+        int(min(1.0, 2 * wanted / max(total, 1)) * (1 << 30))
+    )
+    drawn = points.where(chance).orderBy(F.xxhash64("point_id"), "point_id").limit(wanted)
+    sample = drawn.select("x").toPandas()["x"]
     tree = split_cells(np.array(list(sample), dtype=float).reshape(-1, width), cells)
 
     @pandas_udf("int")
@@ -225,16 +238,18 @@ def nearest_points(
 
     def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, lower, upper = shared.value
+        step = max(1, 4_000_000 // lower.size)
         for batch in batches:
-            out = []
-            for point, x, own, limit in zip(batch["point_id"], batch["x"], batch["cell"], batch["reach"]):
-                x = np.asarray(x)
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step].reset_index(drop=True)
+                x = np.stack(part["x"])[:, None, :]
                 outside = np.maximum(np.maximum(lower - x, x - upper), 0)
-                gap = np.sqrt((outside**2).sum(axis=1))
-                far = np.inf if limit is None or np.isnan(limit) else limit * (1 + 1e-12)
-                visit = cell[(gap <= far) & (cell != own)]
-                out.extend((point, x, c) for c in visit)
-            yield pd.DataFrame(out, columns=["point_id", "x", "cell"])
+                gap = np.sqrt((outside**2).sum(axis=2))
+                far = part["reach"].fillna(np.inf).to_numpy(dtype=float) * (1 + 1e-12)
+                visits = (gap <= far[:, None]) & (cell[None, :] != part["cell"].to_numpy()[:, None])
+                row, at = np.nonzero(visits)
+                met = part.iloc[row][["point_id", "x"]].reset_index(drop=True)
+                yield met.assign(cell=cell[at].astype("int32"))
 
     visits = bounded.select("point_id", "x", "cell", "reach").mapInPandas(
         other_cells, "point_id bigint, x array<double>, cell int"
