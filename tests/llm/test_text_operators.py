@@ -169,3 +169,24 @@ def test_language_without_labels(hard_df):
 
     found = language.identify(hard_df.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in found.collect()} == {("und", 0.0)}
+
+
+def test_tasks_need_no_installed_package(tmp_path, small):
+    """A driver that knows the package only by its own path, started from another folder."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent.parent
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as entry
+from gtdlens.session import local_session
+spark = local_session(2)
+for name in ("op7_quality_rules", "op10_token_counts"):
+    print(name, entry.queries()[name](spark, {small!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "op7_quality_rules 200" in done.stdout and "op10_token_counts 200" in done.stdout, done.stderr[-500:]
