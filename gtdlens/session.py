@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+# Folders made for each application, to be freed by it alone.
+_made: dict[str, list[str]] = {}
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,7 +50,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/gtdlens/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; ``release_written`` deletes what is put there."""
+    path = f"{shared_folder(spark)}/gtdlens/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def write_once(df: DataFrame, name: str) -> DataFrame:
@@ -59,14 +63,13 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release_written(spark: SparkSession) -> None:
-    """Delete the tables that ``write_once`` made in this process, once no result needs them."""
+    """Delete what this session has put under ``new_path``, once no result needs it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = hadoop.Path(_written.pop())
+    for made in _made.pop(spark.sparkContext.applicationId, []):
+        path = hadoop.Path(made)
         path.getFileSystem(configuration).delete(path, True)
