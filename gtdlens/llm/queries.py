@@ -12,6 +12,7 @@ from gtdlens.llm import (
     lines,
     near_dups,
     neighbours,
+    oracle,
     packing,
     piece_model,
     quality,
@@ -81,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
