@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gtdlens.functions import columns as C
 from gtdlens.operators import encoding as E
 from gtdlens.schemas import FORM_VOCABULARY
+from gtdlens.session import write_once
 
 COUNTS = ["same_hour_game", "one_hour_window_game"]
 
@@ -24,8 +25,7 @@ def scenario_rows(scenarios: DataFrame, slots: DataFrame | None = None) -> DataF
     if slots is None:
         rows = rows.withColumns({c: F.lit(0).cast("bigint") for c in COUNTS})
     else:
-        key = ["start_date_local", "start_hour_local"]
-        rows = rows.join(slots.select(*key, *COUNTS), key, "left").fillna(0, COUNTS)
+        rows = _with_counts(rows, slots)
     return rows.select(
         "scenario_id",
         "start_date_local",
@@ -46,6 +46,21 @@ def scenario_rows(scenarios: DataFrame, slots: DataFrame | None = None) -> DataF
     )
 
 
+def _with_counts(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """Slot counts, zero where there is no slot.
+
+    The slots are limited to the scenarios' dates and written, so their real size decides
+    on a broadcast. Scenarios without an hour or date meet no slot and stay out of the join.
+    """
+    key = ["start_date_local", "start_hour_local"]
+    near = slots.join(rows.select("start_date_local").distinct(), "start_date_local", "left_semi")
+    written = write_once(near.select(*key, *COUNTS), "slots")
+    placed = F.col("start_date_local").isNotNull() & F.col("start_hour_local").isNotNull()
+    counted = rows.where(placed).join(written, key, "left").fillna(0, COUNTS)
+    none = {c: F.lit(0).cast("bigint") for c in COUNTS}
+    return counted.unionByName(rows.where(~placed).withColumns(none))
+
+
 def scenario_features(scenarios: DataFrame, slots: DataFrame | None = None) -> DataFrame:
     """The numbers and the 48 flags of the closed vocabularies, one column each."""
     rows = scenario_rows(scenarios, slots)
