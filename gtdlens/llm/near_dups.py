@@ -208,11 +208,13 @@ def near_duplicates(
     signed_docs = write_once(signatures(docs, shingle), "signatures")
     named = ["name1", "name2", "n"]
     usable = signed_docs.where("doc_id is not null and n > 0")
-    classes = usable.groupBy(*named).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    classes = write_once(
+        usable.groupBy(*named).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes"
+    )
     stands = usable.join(classes.withColumnRenamed("node", "doc_id"), [*named, "doc_id"])
     reps = write_once(
         stands.select(F.col("doc_id").alias("node"), "copies", "n", "sketch", "buckets").dropDuplicates(["node", "n", "sketch"]),
-        "classes",
+        "representatives",
     )
     members = write_once(_bucket_members(reps), "buckets")
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
@@ -249,6 +251,8 @@ def near_duplicates(
     )
     final = connected_components(links)
     of_class = classes.join(final, "node", "left").select(*named, F.coalesce("component", "node").alias("component_id"))
+    # Written, so that the join below reads plain shuffles and a class with very many copies can be split.
+    of_class = write_once(of_class, "components")
     found = signed_docs.join(of_class, named, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select(
