@@ -33,6 +33,7 @@ UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_other_words long"
 LETTER = regex.compile(r"\p{L}")
 KNOWN_WORDS = 1_000_000  # words a worker remembers before it starts afresh
+DRAWS = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -291,12 +292,21 @@ def fitted(df: DataFrame, settings: Settings, id_column="doc_id", text_column="t
     """The model of the bounded sample; the sample is all that comes to the driver."""
     rows = df.select(
         F.col(f"`{id_column}`").cast("long").alias("id"),
-        F.substring(F.col(f"`{text_column}`"), 1, settings.sample_chars).alias("text"),
+        F.col(f"`{text_column}`").alias("text"),
         F.col(f"`{label_column}`").cast("string").alias("lang"),
     ).where("id is not null and text is not null and lang is not null")
-    drawn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))
+    usable = rows.where(~held_out("id")).withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(DRAWS)))
+    counts = usable.groupBy("lang").count().collect()  # one row per language
+    # A threshold for each language lets through about twice the rows wanted, whatever the table's size, so the
+    # ranking that takes the exact number moves no more than that.
+    passes = F.lit(False)
+    for r in counts:
+        wanted = 2 * settings.rows_per_language + 100
+        passes = passes | ((F.col("lang") == r["lang"]) & (F.col("draw") < F.lit(-(-DRAWS * wanted // r["count"]))))
+    drawn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
     sample = (
-        rows.where(~held_out("id"))
+        usable.where(passes)
+        .withColumn("text", F.substring("text", 1, settings.sample_chars))
         .withColumn("place", drawn)
         .where(F.col("place") <= settings.rows_per_language)
         .select("lang", "text", "place")
