@@ -305,6 +305,10 @@ w AS (
             || CAST(CAST(v + INTERVAL 12 MONTH - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS period
     FROM steps
 )"""
+# The same schedule from the first month that has 11 before it.
+MONTHLY = SCHEDULE.replace(
+    "DATE '1996-01-30' AS v", "CAST(min(CAST(o_orderdate AS DATE)) + INTERVAL 11 MONTH AS DATE) AS v FROM orders"
+)
 NUMBERS = (
     "level_reject", "mtt_blind_up_time_sec", "late_registration_time", "earlybird", "has_rebuy",
     "has_addon", "mtt_customer_buy_in", "mtt_customer_rebuy", "mtt_customer_addon", "gtd",
@@ -462,6 +466,11 @@ def statements() -> dict[str, str]:
             FROM ({_vocabulary('tr')}) UNION ALL SELECT unnest({list(NUMBERS)}), 1.0""",
         "cv_oof_rows": f"""WITH {T}, {TRAINED} SELECT match_id, {FOLD.format(id='match_id', k=3)} AS fold,
             collected AS actual FROM tr""",
+        "cv_oof_ten_rows": f"""WITH {T}, {TRAINED} SELECT match_id, {FOLD.format(id='match_id', k=10)} AS fold,
+            collected AS actual FROM tr""",
+        "temporal_cv_monthly_rows": f"""WITH RECURSIVE {YEARLY}, {MONTHLY}
+            SELECT window_id, match_id, start_date_local, collected AS actual FROM t, w
+            WHERE start_date_local BETWEEN valid_start AND valid_end""",
         "temporal_cv_rows": f"""WITH RECURSIVE {YEARLY}, {LONG_WINDOWS}
             SELECT window_id, match_id, start_date_local, collected AS actual FROM t, w
             WHERE start_date_local BETWEEN valid_start AND valid_end""",

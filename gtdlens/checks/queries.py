@@ -42,6 +42,7 @@ QUICK_SPACE = {
     "subsample": tuning.Real(0.5, 1.0),
     "colsample_bytree": tuning.Real(0.5, 1.0),
 }
+FOLDS, WINDOW_FOLDS = 10, 5
 
 
 def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -374,7 +375,7 @@ def smote_class_counts(spark, d):
     )
 
 
-def _regressor_data(spark, d, folds=3):
+def _regressor_data(spark, d, folds=FOLDS):
     rows = X.regressor_extract(V.tournaments(spark, d), FIRST_DAY, LAST_DAY, classes=ALL_CLASSES)
     return rows, *Tr.prepared_regressor_data(rows, folds)
 
@@ -399,7 +400,7 @@ def scenario_scores(spark, d):
 
 def gbt_classifier_scores(spark, d):
     rows = classifier_extract(spark, d)
-    data, encoder, _ = Tr.prepared_classifier_data(rows, 3)
+    data, encoder, _ = Tr.prepared_classifier_data(rows, FOLDS)
     model = Mo.joined_pipeline(encoder, Mo.fit_classifier(balanced(data, ["id_match"]), QUICK))
     classified = Tr.classify(rows, model)
     return classified.select("id_match", "overlay_match_bi", "prediction", "outcome_text")
@@ -411,24 +412,47 @@ def feature_importance(spark, d):
     return R.ranked_importances(importances)
 
 
-def cv_oof(spark, d):
-    _, data, _, _ = _regressor_data(spark, d)
-    parts = Mo.training_parts(data, 3)
+def _out_of_fold(spark, d, folds):
+    _, data, _, _ = _regressor_data(spark, d, folds)
+    parts = Mo.training_parts(data, folds)
     return Mo.out_of_fold(data, lambda train: Mo.fit_regressor(train, QUICK), parts)[0]
 
 
+def cv_oof(spark, d):
+    return _out_of_fold(spark, d, FOLDS)
+
+
+def _resampled(train):
+    return balanced(train, ["id_match"])
+
+
 def classifier_cv_f1(spark, d):
     """Folds in id order; the minority is over-sampled in the training part only."""
-    data, _, _ = Tr.prepared_classifier_data(classifier_extract(spark, d), 3)
-    parts = Mo.training_parts(data, 3, lambda train: balanced(train, ["id_match"]))
+    data, _, _ = Tr.prepared_classifier_data(classifier_extract(spark, d), FOLDS)
+    parts = Mo.training_parts(data, FOLDS, _resampled)
     scored, _ = Mo.out_of_fold(data, lambda train: Mo.fit_classifier(train, QUICK), parts)
     return M.fold_scores(scored, "fold", f1=M.class_f1("actual", "prediction"))
 
 
+def classifier_search(spark, d):
+    """The search with the mean F1 over the folds as its objective, resampled as above."""
+    data, _, _ = Tr.prepared_classifier_data(classifier_extract(spark, d), FOLDS)
+    tuned = Tr.tune(
+        data,
+        Tr.trial_rows(tuning.trial_table(spark, 3, QUICK_SPACE)),
+        FOLDS,
+        fit=Mo.fit_classifier,
+        objective=tuning.mean_fold_f1,
+        largest=True,
+        resample=_resampled,
+    )
+    return tuning.outcome_table(spark, tuned.outcomes, QUICK_SPACE)
+
+
 def tune_and_refit(spark, d):
-    _, data, _, _ = _regressor_data(spark, d, folds=2)
+    _, data, _, _ = _regressor_data(spark, d)
     trials = Tr.trial_rows(tuning.trial_table(spark, 3, QUICK_SPACE))
-    tuned = Tr.tune(data, trials, folds=2)
+    tuned = Tr.tune(data, trials, folds=FOLDS)
     return tuning.outcome_table(spark, tuned.outcomes, QUICK_SPACE)
 
 
@@ -436,32 +460,50 @@ def _yearly_data(spark, d):
     rows = V.yearly_tournaments(spark, d)
     days = rows.agg(F.min("start_date_local"), F.max("start_date_local")).first()
     extract = X.regressor_extract(rows, days[0], days[1], classes=ALL_CLASSES)
-    data, encoder, _ = Tr.prepared_regressor_data(extract, 2, by_day=True)
+    data, encoder, _ = Tr.prepared_regressor_data(extract, WINDOW_FOLDS, by_day=True)
+    return data, encoder, days
+
+
+def _monthly_data(spark, d):
+    """11 months of training, 1 of validation, step 1, up to the last day."""
+    data, encoder, (first, last) = _yearly_data(spark, d)
+    return data, encoder, splits.rolling_windows(splits.add_months(first, 11), last + timedelta(days=1))
+
+
+def _long_data(spark, d):
+    """The four long windows that the SQL of the `_rows` queries has."""
+    data, encoder, (first, last) = _yearly_data(spark, d)
     windows = splits.rolling_windows(
-        splits.add_months(days[0], 33), days[1], train_months=33, valid_months=12, step_months=12
+        splits.add_months(first, 33), last, train_months=33, valid_months=12, step_months=12
     )
     return data, encoder, windows
 
 
-def temporal_cv(spark, d):
-    data, _, windows = _yearly_data(spark, d)
+def _temporal_cv(data, windows):
     return Mo.out_of_window(data, lambda train: Mo.fit_regressor(train, QUICK), windows)[0]
 
 
+def _window_tuning(spark, data, encoder, windows):
+    trials = Tr.trial_rows(tuning.trial_table(spark, 2, QUICK_SPACE))
+    root = new_path(spark, "windows")
+    return Tr.tune_windows(data, encoder, windows, trials, root, folds=WINDOW_FOLDS)[1]
+
+
+def temporal_cv(spark, d):
+    data, _, windows = _monthly_data(spark, d)
+    return _temporal_cv(data, windows)
+
+
 def temporal_search(spark, d):
     """The search with the pooled error over the windows as its objective."""
-    data, _, windows = _yearly_data(spark, d)
+    data, _, windows = _monthly_data(spark, d)
     trials = Tr.trial_rows(tuning.trial_table(spark, 2, QUICK_SPACE))
     tuned = Tr.tune(data, trials, windows=windows)
     return tuning.outcome_table(spark, tuned.outcomes, QUICK_SPACE)
 
 
 def window_tuning(spark, d):
-    data, encoder, windows = _yearly_data(spark, d)
-    trials = Tr.trial_rows(tuning.trial_table(spark, 2, QUICK_SPACE))
-    root = new_path(spark, "windows")
-    _, scored = Tr.tune_windows(data, encoder, windows, trials, root, folds=2)
-    return scored
+    return _window_tuning(spark, *_monthly_data(spark, d))
 
 
 # --- what must hold of the model queries whatever the trees are
@@ -519,16 +561,30 @@ def importance_features(spark, d):
 
 
 def cv_oof_rows(spark, d):
-    """Every row is predicted once, in its own fold, with its own actual value."""
+    """Every row is predicted once, in its own fold, with its own actual value; three folds, as the SQL has."""
+    return _out_of_fold(spark, d, 3).select("match_id", "fold", "actual")
+
+
+def cv_oof_ten_rows(spark, d):
+    """The same of `cv_oof` and its ten folds."""
     return cv_oof(spark, d).select("match_id", "fold", "actual")
 
 
 def temporal_cv_rows(spark, d):
+    """The validated rows of the long windows, as the SQL has them."""
+    data, _, windows = _long_data(spark, d)
+    return _temporal_cv(data, windows).select("window_id", "match_id", "start_date_local", "actual")
+
+
+def temporal_cv_monthly_rows(spark, d):
+    """The same of `temporal_cv` and its monthly windows."""
     return temporal_cv(spark, d).select("window_id", "match_id", "start_date_local", "actual")
 
 
 def window_tuning_rows(spark, d):
-    return window_tuning(spark, d).select("window_id", "period", "match_id", "actual")
+    """The scored rows of the long windows, as the SQL has them."""
+    scored = _window_tuning(spark, *_long_data(spark, d))
+    return scored.select("window_id", "period", "match_id", "actual")
 
 
 def search_trials(spark, d):
@@ -589,6 +645,7 @@ REGISTERED = (
     feature_importance,
     cv_oof,
     classifier_cv_f1,
+    classifier_search,
     tune_and_refit,
     temporal_cv,
     temporal_search,
@@ -598,7 +655,9 @@ REGISTERED = (
     classifier_consistency,
     importance_features,
     cv_oof_rows,
+    cv_oof_ten_rows,
     temporal_cv_rows,
+    temporal_cv_monthly_rows,
     window_tuning_rows,
     search_trials,
 )
