@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gtdlens.checks import queries
+from gtdlens.checks import queries, value_queries
 from gtdlens.operators import splits
 from gtdlens.plans import training as Tr
 
@@ -59,3 +59,16 @@ def test_folds(spark, small, monkeypatch, query, folds):
     assert seen["folds"] == seen["found"] == folds
     if query == "classifier_search":
         assert seen["objective"] is queries.tuning.mean_fold_f1 and seen["largest"] and seen["resample"]
+
+
+def test_all_monthly_windows_get_a_model(spark, small, monkeypatch):
+    seen = {}
+
+    def per_window(data, encoder, windows, trials, root, folds):
+        seen.update(data=data, windows=windows)
+        columns = {"window_id": F.lit(0), "period": F.lit(""), "actual": F.col("label"), "prediction": F.col("label")}
+        return [], data.withColumns(columns)
+
+    monkeypatch.setattr(value_queries.Tr, "tune_windows", per_window)
+    value_queries.stump_all_window_models(spark, small)
+    validated_once(seen["data"], seen["windows"])
