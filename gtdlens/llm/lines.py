@@ -5,6 +5,10 @@ the lines around it and not on their place in the document: a passage that moved
 whose hash occurs more than once anywhere are candidates; those are compared by their bytes, the first one (smallest id,
 then first place) stays and the others are removed.
 
+With `bounded` a chunk has two lines at least that are not blank, where the text has two, and three at most, so that each can
+take part: it ends where the rolling hash is least among its neighbours, and what lies between two such ends is cut
+into pairs, also a run of equal lines. Blank lines belong to the chunk before them.
+
 The shuffles: chunk hashes (partly counted before), the candidates per document, the texts by id. The texts' shuffle is
 planned once and reused by the byte comparison and the final removal. Hot chunks are counted before the shuffle, and their
 minimum is taken before it too, so no task gathers a group.
@@ -24,6 +28,7 @@ from gtdlens.session import write_once
 WINDOW = 2
 DIVISOR = 3
 PRIME = 1_000_000_007
+PIECE = 2
 
 
 def line_array(text: Column) -> Column:
@@ -47,6 +52,38 @@ def chunk_ends(hashes: Column, window: int = WINDOW, divisor: int = DIVISOR) ->
     return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """Add `__ends` of chunks of two or three lines that are not blank; the steps are columns for the reason in `_cut`."""
+    n, at, rolled, cuts = F.size("__at"), F.col("__at"), F.col("__rolled"), F.col("__cuts")
+
+    def roll(_: Column, j: Column) -> Column:
+        total: Column = F.lit(0).cast("long")
+        for back in range(WINDOW):
+            total = total * 31 + F.coalesce(F.get("__hashes", F.get(at, j - back)), F.lit(0).cast("long"))
+        return F.xxhash64(total)
+
+    def is_cut(j: Column) -> Column:
+        least = (F.get(rolled, j) < F.get(rolled, j - 1)) & (F.get(rolled, j) <= F.get(rolled, j + 1))
+        return (j == n - 1) | ((j >= 1) & (j <= n - 3) & least)
+
+    def pieces(end: Column, k: Column) -> Column:
+        first = F.coalesce(F.get(cuts, k - 1) + 1, F.lit(0))
+        count = F.greatest(F.lit(1), F.floor((end - first + 1) / PIECE).cast("int"))
+        return F.transform(F.sequence(F.lit(1), count), lambda q: F.when(q == count, end).otherwise(first + q * PIECE - 1))
+
+    last_line = F.size("__lines") - 1
+    ends = F.transform("__pieces", lambda j: F.when(j == n - 1, last_line).otherwise(F.get(at, j)))
+    places = F.sequence(F.lit(0), last_line)
+    return (
+        rows.withColumn("__at", F.filter(places, lambda i: F.trim(F.get("__lines", i)) != ""))
+        .withColumn("__rolled", F.transform("__at", roll))
+        .withColumn("__cuts", F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), is_cut))
+        .withColumn("__pieces", F.flatten(F.transform("__cuts", pieces)))
+        .withColumn("__ends", F.when(n == 0, F.array(last_line)).otherwise(ends))
+        .drop("__at", "__rolled", "__cuts", "__pieces")
+    )
+
+
 def chunk_array(lines: Column, ends: Column) -> Column:
     """Chunks as (number, first line, lines, bytes)."""
 
@@ -63,26 +100,28 @@ def chunk_array(lines: Column, ends: Column) -> Column:
     return F.transform(ends, chunk)
 
 
-def _cut(rows: DataFrame, text: Column) -> DataFrame:
+def _cut(rows: DataFrame, text: Column, bounded: bool) -> DataFrame:
     """Add the lines, their hashes and the chunk ends. Each is a column of its own: a lambda that held the whole
     expression would evaluate it again for every line."""
     with_lines = rows.withColumn("__lines", line_array(text))
     with_hashes = with_lines.withColumn("__hashes", line_hashes(F.col("__lines")))
+    if bounded:
+        return _bounded(with_hashes)
     return with_hashes.withColumn("__ends", chunk_ends(F.col("__hashes")))
 
 
-def _chunks(rows: DataFrame, *carried: str) -> DataFrame:
+def _chunks(rows: DataFrame, bounded: bool, *carried: str) -> DataFrame:
     """One row per chunk with two lines at least that are not blank."""
-    cut = _cut(rows.where("__text is not null and __id is not null"), F.col("__text"))
+    cut = _cut(rows.where("__text is not null and __id is not null"), F.col("__text"), bounded)
     exploded = cut.select("__id", *carried, F.explode(chunk_array(F.col("__lines"), F.col("__ends"))).alias("c"))
     several = F.size(F.filter(F.split("c.bytes", "\n", -1), lambda line: F.trim(line) != "")) >= 2
     return exploded.where(several)
 
 
-def repeated_chunks(rows: DataFrame) -> DataFrame:
+def repeated_chunks(rows: DataFrame, bounded: bool = False) -> DataFrame:
     """Per id the numbers of its chunks that equal a chunk found earlier, and the lines they hold."""
     keyed = write_once(
-        _chunks(rows).select(
+        _chunks(rows, bounded).select(
             "__id", F.col("c.chunk").alias("__chunk"), F.xxhash64("c.bytes").alias("__hash"), F.length("c.bytes").alias("__n")
         ),
         "chunks",
@@ -92,7 +131,7 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     candidates = (
         keyed.join(found_twice, ["__hash", "__n"]).groupBy("__id").agg(F.collect_set("__chunk").alias("__candidates"))
     )
-    texts = _chunks(rows.join(candidates, "__id"), "__candidates").where(F.array_contains("__candidates", F.col("c.chunk")))
+    texts = _chunks(rows.join(candidates, "__id"), bounded, "__candidates").where(F.array_contains("__candidates", F.col("c.chunk")))
     place = F.struct(F.col("__id"), F.col("c.chunk").alias("__chunk"))
     named = texts.select(place.alias("__place"), F.col("c.size").alias("__size"), F.col("c.bytes").alias("__bytes"))
     # Grouped by the bytes themselves; only a digest of them travels on.
@@ -111,7 +150,9 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     )
 
 
-def without_repeated_chunks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_repeated_chunks(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", bounded: bool = False
+) -> DataFrame:
     """All rows and columns, the text without the repeated chunks, and `removed_lines`, `removed_chunks`."""
     others = [c for c in df.columns if c not in (text_column, "removed_lines", "removed_chunks")]
     # The other columns travel in one, so none can clash with the names used here.
@@ -120,9 +161,9 @@ def without_repeated_chunks(df: DataFrame, id_column: str = "doc_id", text_colum
         F.col(f"`{id_column}`").alias("__id"),
         F.col(f"`{text_column}`").cast("string").alias("__text"),
     )
-    joined = rows.join(repeated_chunks(rows.select("__id", "__text")), "__id", "left")
+    joined = rows.join(repeated_chunks(rows.select("__id", "__text"), bounded), "__id", "left")
     cut = (
-        _cut(joined, F.when(F.col("__gone").isNotNull(), F.col("__text")))
+        _cut(joined, F.when(F.col("__gone").isNotNull(), F.col("__text")), bounded)
         .withColumn("__chunks", chunk_array(F.col("__lines"), F.col("__ends")))
         .withColumn("__left", F.filter("__chunks", lambda c: ~F.array_contains(F.col("__gone"), c["chunk"])))
     )
@@ -136,12 +177,14 @@ def without_repeated_chunks(df: DataFrame, id_column: str = "doc_id", text_colum
     )
 
 
-def line_digest(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_digest(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", bounded: bool = False
+) -> DataFrame:
     """One row per document: lines, lines and chunks removed, and the digest of the text that stays."""
     narrow = df.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     n_lines = F.coalesce(F.size(line_array(F.col("text"))), F.lit(0)) + F.col("removed_lines")
     whole_gone = (F.col("text") == "") & (F.col("removed_lines") > 0)
-    return without_repeated_chunks(narrow).select(
+    return without_repeated_chunks(narrow, bounded=bounded).select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).when(whole_gone, F.col("removed_lines")).otherwise(n_lines).cast("long").alias("n_lines"),
         F.col("removed_lines").alias("n_removed_lines"),

@@ -36,7 +36,7 @@ def op3_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return lines.line_digest(documents(spark, d))
+    return lines.line_digest(documents(spark, d), bounded=True)
 
 
 def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
