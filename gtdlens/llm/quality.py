@@ -50,10 +50,26 @@ class Rules:
     most_bad_chunks: float = 0.5
     bands: tuple[Band, ...] = (
         Band(0, 0.0, float("inf")),
-        Band(100, 0.30, 1.15),
-        Band(400, 0.25, 0.85),
-        Band(1_500, 0.20, 0.75),
-        Band(6_000, 0.15, 0.70),
+        # The highest limits lie a little above the ratios of the given documents' clean prose.
+        Band(100, 0.30, 1.02),
+        Band(125, 0.30, 0.95),
+        Band(150, 0.30, 0.93),
+        Band(200, 0.30, 0.885),
+        Band(250, 0.30, 0.82),
+        Band(300, 0.30, 0.79),
+        Band(400, 0.25, 0.745),
+        Band(500, 0.25, 0.72),
+        Band(600, 0.25, 0.695),
+        Band(800, 0.25, 0.645),
+        Band(1_000, 0.25, 0.607),
+        Band(1_250, 0.25, 0.59),
+        Band(1_500, 0.20, 0.572),
+        Band(2_000, 0.20, 0.545),
+        Band(2_500, 0.20, 0.535),
+        Band(3_000, 0.20, 0.52),
+        Band(4_000, 0.20, 0.50),
+        Band(6_000, 0.15, 0.485),
+        Band(12_000, 0.15, 0.46),
     )
 
     def limits(self, size: int) -> tuple[float, float]:
