@@ -47,7 +47,7 @@ class Rules:
     level: int = 3
     chunk_bytes: int = 4096
     # A document goes if more than this share of its chunks is out of band.
-    most_bad_chunks: float = 0.5
+    most_bad_chunks: float = 0.1
     bands: tuple[Band, ...] = (
         Band(0, 0.0, float("inf")),
         # The highest limits lie a little above the ratios of the given documents' clean prose.
