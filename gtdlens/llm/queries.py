@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gtdlens.llm import (
     language,
     lines,
+    merkle,
     near_dups,
     neighbours,
     oracle,
@@ -63,6 +64,10 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.merkle_digest(documents(spark, d))
+
+
 REGISTERED = (
     op1_substring_dedup,
     op2_multiprobe_neighbours,
@@ -74,6 +79,7 @@ REGISTERED = (
     op8_length_packing,
     op9_kd_sharding,
     op10_token_counts,
+    op12_merkle_manifest,
 )
 
 
