@@ -20,6 +20,7 @@ from gtdlens.llm import (
     shards,
     substrings,
     token_counts,
+    whitening,
 )
 from gtdlens.llm.common import documents
 
@@ -68,6 +69,10 @@ def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return merkle.merkle_digest(documents(spark, d))
 
 
+def op13_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 REGISTERED = (
     op1_substring_dedup,
     op2_multiprobe_neighbours,
@@ -80,6 +85,7 @@ REGISTERED = (
     op9_kd_sharding,
     op10_token_counts,
     op12_merkle_manifest,
+    op13_embedding_whitening,
 )
 
 

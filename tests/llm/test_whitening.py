@@ -1,0 +1,115 @@
+"""Whitening against plain whole numbers and a dense matrix, and its defined results."""
+
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from gtdlens.llm import whitening
+from gtdlens.llm.queries import op13_embedding_whitening
+from tests.llm.conftest import table
+
+SCHEMA = "vec_id long, embedding array<float>, x int, copies string, component int, quick double"
+
+
+def rows_of(spark, vectors):
+    return spark.createDataFrame([(i, v, 1, "c", 2, 0.5) for i, v in vectors], SCHEMA).repartition(3)
+
+
+def plain(vectors, weights="copies"):
+    """[(vec_id, x)] that take part, and n, exact deviations by x, eigenvalues, whitened by x."""
+    usable = [
+        (i, [math.floor(1024 * c) + 100_000 for c in np.float32(v).astype(float)])
+        for i, v in vectors
+        if v and all(c is not None and math.isfinite(c) for c in v)
+    ]
+    fit = [x for _, x in usable] if weights == "copies" else [list(x) for x in {tuple(x) for _, x in usable}]
+    n, sums = len(fit), np.array(fit, object).sum(0)
+    deviation = {tuple(x): sum(int(n * a - s) ** 2 for a, s in zip(x, sums)) for _, x in usable}
+    mean = np.array([float(Fraction(int(s), n)) for s in sums])
+    centred = np.array(fit, float) - mean
+    covariance = centred.T @ centred / n
+    values, axes = np.linalg.eigh(covariance)
+    order = np.argsort(-values)[:8]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        white = {tuple(x): (np.array(x) - mean) @ axes[:, order] / np.sqrt(values[order]) for _, x in usable}
+    return usable, n, deviation, values[order], values[order] / np.trace(covariance), white
+
+
+def check(found, vectors, weights="copies", varied=8):
+    usable, n, deviation, _, explained, white = plain(vectors, weights)
+    k = min(8, len(usable[0][1]))
+    assert sorted((r.vec_id is None, r.vec_id or 0, r.component) for r in found) == sorted(
+        (i is None, i or 0, c) for i, _ in usable for c in range(1, k + 1)
+    )
+    by_id = {}
+    for i, x in usable:
+        by_id.setdefault(i, set()).add(tuple(x))
+    signs = {}
+    for r in found:
+        x = min(by_id[r.vec_id], key=lambda x: abs(abs(white[x][r.component - 1]) - abs(r.whitened)))
+        assert r.n == n and r.deviation in {deviation[y] for y in by_id[r.vec_id]}
+        if r.component > varied:
+            assert (r.whitened, r.explained) == (0.0, 0.0)
+            continue
+        assert r.explained == pytest.approx(explained[r.component - 1], rel=1e-9)
+        want = white[x][r.component - 1]
+        if abs(want) > 1e-3:
+            sign = signs.setdefault(r.component, math.copysign(1, want * r.whitened))
+            assert r.whitened == pytest.approx(sign * want, rel=1e-6, abs=1e-9)
+    assert len({r.identity_error for r in found}) == 1 and found[0].identity_error < 1e-8
+
+
+def test_whole_table(spark, small):
+    found = op13_embedding_whitening(spark, small).collect()
+    check(found, table(small, "select vec_id, embedding from embeddings"))
+
+
+def hard_vectors():
+    rng = np.random.default_rng(5)
+    hot = [0.5, -0.25, 3.0, 1.0, 0.0, 2.0, -1.5, 0.125, 9.0]
+    some = [(int(i), [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(60, 9)) * np.arange(1, 10))]
+    # A third of all rows are one vector, two differ by less than the scale resolves, some rows repeat, some are unusable.
+    near = (901, [c + 1e-5 for c in some[3][1]])
+    bad = [(700, None), (701, []), (702, [None] * 9), (703, [math.nan] + hot[1:]), (704, hot[:-1] + [math.inf]), (705, [1.0, 2.0])]
+    return [*some, *[(1_000 + k, hot) for k in range(40)], some[5], some[5], (None, some[6][1]), near], bad
+
+
+@pytest.mark.parametrize("weights", ["copies", "one"])
+def test_hot_class_repeats_and_unusable_rows(spark, weights):
+    good, bad = hard_vectors()
+    found = whitening.whitened(rows_of(spark, good + bad), weights=weights).collect()
+    check(found, good, weights)
+
+
+def test_all_components(spark):
+    good, _ = hard_vectors()
+    found = whitening.whitened(rows_of(spark, good), components=20)
+    assert found.select("component").distinct().count() == 9
+
+
+def test_components_without_variance(spark):
+    line = [(i, [float(i % 5), 2.0 * (i % 5), 1.0]) for i in range(25)]
+    found = whitening.whitened(rows_of(spark, line)).collect()
+    check(found, line, varied=1)
+    same = whitening.whitened(rows_of(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect()
+    assert {(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in same} == {(2, 0, 0.0, 0.0, 0.0)}
+    assert len(same) == 4
+
+
+def test_large_entries(spark):
+    """Deviations in whole numbers beyond what doubles hold, and null beyond longs."""
+    vectors = [(i, [float(2**16 * i + 1), -float(2**15 * i * i)]) for i in range(4)]
+    check(whitening.whitened(rows_of(spark, vectors)).collect(), vectors)
+    huge = [(1, [1e30, 0.0]), (2, [2.0**45, 0.0]), (3, [0.0, 2.0**40]), (4, [1.0, 2.0])]
+    found = whitening.whitened(rows_of(spark, huge)).collect()
+    assert {r.vec_id for r in found} == {2, 3, 4} and all(r.deviation is None for r in found if r.vec_id == 2)
+
+
+def test_no_vectors(spark):
+    columns = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    for rows in ([], [(1, None)], [(1, [])]):
+        found = whitening.whitened(rows_of(spark, rows))
+        assert found.columns == columns and found.count() == 0
+
