@@ -20,6 +20,7 @@ from gtdlens.llm import (
     shards,
     substrings,
     token_counts,
+    toxicity,
     whitening,
 )
 from gtdlens.llm.common import documents
@@ -65,6 +66,10 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return merkle.merkle_digest(documents(spark, d))
 
@@ -84,6 +89,7 @@ REGISTERED = (
     op8_length_packing,
     op9_kd_sharding,
     op10_token_counts,
+    op11_toxicity,
     op12_merkle_manifest,
     op13_embedding_whitening,
 )
