@@ -3,9 +3,9 @@
 A text is a bag of instances, its sentences (a sentence beyond `instance_words` words is several instances). An instance has the
 chance 1 / (1 + exp(-z)) of being toxic, z a bias plus the weights of its words' features: the word without marks around
 it, ASCII letters in lower case, and its prefixes of 3 to 7 bytes, hashed into one table. A bag is toxic if any of its instances
-is (noisy-or): score = 1 - prod(1 - chance). The weights minimise the bags' log loss, first with a penalty on their
-size that leaves few of them, then without it on those few; the labels' shares in the table weigh the sample. A sentence's own
-score, the noisy-or of its instances, says which sentences offend.
+is (noisy-or): score = 1 - prod(1 - chance). The weights are not negative, so no word makes a sentence harmless. They minimise
+the bags' log loss, first with a penalty on their size that leaves few of them, then without it on those few; the labels' shares
+in the table weigh the sample. A sentence's own score, the noisy-or of its instances, says which sentences offend.
 
 The weights are fitted on the driver on a bounded sample: at most `rows_per_label` labelled texts of each label, drawn by a hash
 of the id, the first `sample_chars` characters of each. A feature counts if `least_texts` sample texts hold it. Scoring reads
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gtdlens.llm.common import carry_code, narrowed, per_batch
+from gtdlens.llm.common import narrowed, per_batch
 from gtdlens.llm.language import held_out
 from gtdlens.llm.text_arrays import Words, range_hashes, slices
 
@@ -44,8 +44,8 @@ WIDE_STOPS = [np.frombuffer(c.encode(), np.uint8) for c in "。！？"]
 
 @dataclass(frozen=True)
 class Settings:
-    rows_per_label: int = 3_000
-    sample_chars: int = 20_000
+    rows_per_label: int = 2_000
+    sample_chars: int = 10_000
     feature_bits: int = 18
     instance_words: int = 32
     least_texts: int = 5
@@ -217,8 +217,7 @@ class _Fit:
             mean_bias, square_bias = 0.9 * mean_bias + 0.1 * slope_bias, 0.99 * square_bias + 0.01 * slope_bias**2
             young, old = 1 - 0.9**step, 1 - 0.99**step
             pace = rate / (np.sqrt(square / old) + 1e-4)
-            moved = self.weights - pace * mean / young
-            moved = np.sign(moved) * np.maximum(np.abs(moved) - pace * penalty, 0)
+            moved = np.maximum(self.weights - pace * mean / young - pace * penalty, 0)
             self.weights = np.where(self.free, moved, 0.0)
             self.bias -= rate / 3 * mean_bias / young / (np.sqrt(square_bias / old) + 1e-4)
         self.free = self.weights != 0
