@@ -1,12 +1,13 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each word gets a language. Its features are its affixes, the n-grams inside it and the word itself (the lexicon), hashed
-into one weight table; learned transitions say how readily the language changes from one word to the next.
-Forward-backward gives each word's probability of each language, so code-switched text is labelled word by word, and a
-document's language is the one with the largest mean probability over its words that have a letter.
+Each word gets a language. Its features are its affixes, the n-grams inside it and the word itself (the lexicon is learnt:
+the hashed words' weights), in one weight table; learned transitions say how readily the language changes from one word to the next.
+Forward-backward over the whole text gives each word's probability of each language, so code-switched text is labelled word by
+word, and a document's language is the one with the largest mean probability over its words that have a letter.
 
 The weights are fitted on the driver on a bounded sample (`Settings.rows_per_language` rows of each language, the first
-`sample_chars` characters of each), drawn by a hash of the id, out of which code-switched runs are put together.
+`sample_chars` characters of each, `most_rows` rows in all), drawn by a hash of the id, out of which code-switched runs are put
+together. More than `most_languages` labels are an error, raised before anything is read in full.
 Prediction reads every word of every text: one pass without shuffle, the weights broadcast (their size is
 `2 ** feature_bits` times the number of languages).
 
@@ -41,7 +42,9 @@ class Settings:
     rows_per_language: int = 1_500
     sample_chars: int = 2_000
     feature_bits: int = 17
-    run_words: int = 64  # words of one chain; longer texts are chains in a row
+    most_languages: int = 256
+    most_rows: int = 50_000  # of the sample, over all languages
+    run_words: int = 64  # words of a chain put together for learning, and of a chunk of a long chain
     runs: int = 8_000
     epochs: int = 5
     runs_per_step: int = 500
@@ -69,7 +72,7 @@ def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, bits: in
     gram = np.zeros(len(flat), np.uint64)
     for n in range(1, 5):
         shifted = np.zeros(len(flat), np.uint64)
-        shifted[: len(flat) - n + 1] = flat[n - 1 :]
+        shifted[: max(0, len(flat) - n + 1)] = flat[n - 1 :]
         gram = gram * np.uint64(257) + shifted + np.uint64(1)
         inside = place + n <= last
         for kind, mask in ((0, inside if n > 1 else None), (1, inside & (place == first)), (2, inside & (place + n == last))):
@@ -88,22 +91,30 @@ def word_features(data: np.ndarray, start: np.ndarray, end: np.ndarray, bits: in
 # --- the chain
 
 
-def forward_backward(scores: np.ndarray, present: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(
+    scores: np.ndarray, present: np.ndarray, change: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of each word's label, and of each pair of neighbouring labels summed over all chains.
 
-    scores: chain, word, label; present: words that exist (a prefix of each chain); change: label before, after.
+    scores: chain, word, label; present: words that exist (a prefix of each chain); change: label before, after. A chain that
+    goes on from another has the forward message of the word before it in `before` (a row without any is a
+    first word), one that is gone on from the backward message of its last word in `after`.
     """
     chains, length, labels = scores.shape
     local = np.exp(scores - scores.max(axis=2, keepdims=True))
     step = np.exp(change - change.max())
     forward = np.empty_like(local)
     backward = np.empty_like(local)
-    forward[:, 0] = local[:, 0] / local[:, 0].sum(1, keepdims=True)
+    end = np.ones((chains, labels)) if after is None else after
+    start = local[:, 0]
+    if before is not None:
+        start = start * np.where(before.any(1, keepdims=True), before @ step, 1.0)
+    forward[:, 0] = start / start.sum(1, keepdims=True)
     for t in range(1, length):
         reached = (forward[:, t - 1] @ step) * local[:, t]
         reached /= reached.sum(1, keepdims=True)
         forward[:, t] = np.where(present[:, t, None], reached, forward[:, t - 1])
-    backward[:, -1] = 1.0
+    backward[:, -1] = end
     pairs = np.zeros((labels, labels))
     for t in range(length - 1, 0, -1):
         ahead = local[:, t] * backward[:, t]
@@ -112,12 +123,28 @@ def forward_backward(scores: np.ndarray, present: np.ndarray, change: np.ndarray
         here = present[:, t, None]
         pairs += step * (np.where(here, forward[:, t - 1] / norm, 0).T @ ahead)
         back = ahead @ step.T
-        backward[:, t - 1] = np.where(here, back / back.sum(1, keepdims=True), 1.0)
+        backward[:, t - 1] = np.where(here, back / back.sum(1, keepdims=True), end)
     chance = forward * backward
     chance /= chance.sum(2, keepdims=True)
     return chance, pairs
 
 
+def passages(scores: np.ndarray, present: np.ndarray, change: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each chunk's product of steps, up to a factor: a forward message before the chunk times it is the message at its end.
+
+    For chunks that begin a text (`first`) the message before is all ones and meets no change of label.
+    """
+    chains, length, labels = scores.shape
+    local = np.exp(scores - scores.max(axis=2, keepdims=True))
+    step = np.exp(change - change.max())
+    product = np.where(first[:, None, None], np.eye(labels), step) * local[:, 0, None, :]
+    for t in range(1, length):
+        further = (product @ step) * local[:, t, None, :]
+        further /= further.max(axis=(1, 2), keepdims=True)
+        product = np.where(present[:, t, None, None], further, product)
+    return product
+
+
 class Model:
     """Weights of the features, of the change of label, and the languages in order."""
 
@@ -218,30 +245,54 @@ class Labeller:
         return self.known[np.searchsorted(self.keys, unique)][inverse]
 
     def chances(self, words: Words) -> np.ndarray:
-        """Probability of each label for each word."""
+        """Probability of each label for each word, by forward-backward over each whole text.
+
+        Chunks of a text go side by side: their products of steps pass the messages from chunk to chunk first.
+        """
         run, labels = self.model.settings.run_words, len(self.model.languages)
         scores = self.word_scores(words)
         place = np.arange(len(words.start)) - words.first[words.rows]
-        chains = -(-words.counts // run)
-        first_chain = np.concatenate([[0], np.cumsum(chains)])
-        chain, slot = first_chain[words.rows] + place // run, place % run
-        length = np.bincount(chain, minlength=first_chain[-1])
-        out = np.empty((len(scores), labels))
-        # Chains of like length go together, so short texts cost no padding.
+        chunks = -(-words.counts // run)
+        first_chunk = np.concatenate([[0], np.cumsum(chunks)])
+        chunk, slot = first_chunk[words.rows] + place // run, place % run
+        length = np.bincount(chunk, minlength=first_chunk[-1])
+        # Chunks of like length go together, so short texts cost no padding.
         by_length = np.argsort(length, kind="stable")
         rank = np.empty(len(length), np.int64)
         rank[by_length] = np.arange(len(length))
-        order = np.argsort(rank[chain], kind="stable")
-        ends = np.searchsorted(rank[chain][order], np.arange(0, len(length) + 4096, 4096))
-        for low, high in zip(ends, ends[1:]):
-            pick = order[low:high]
-            if not len(pick):
-                continue
-            row = rank[chain[pick]] - rank[chain[pick]].min()
-            shape = (int(row.max()) + 1, int(slot[pick].max()) + 1)
-            grid, present = np.zeros((*shape, labels)), np.zeros(shape, bool)
-            grid[row, slot[pick]], present[row, slot[pick]] = scores[pick], True
-            chance, _ = forward_backward(grid, present, self.model.change)
+        order = np.argsort(rank[chunk], kind="stable")
+        ends = np.searchsorted(rank[chunk][order], np.arange(0, len(length) + 4096, 4096))
+
+        def blocks():
+            for low, high in zip(ends, ends[1:]):
+                pick = order[low:high]
+                if len(pick):
+                    ranks = rank[chunk[pick]]
+                    row, ids = ranks - ranks[0], by_length[ranks[0] : ranks[-1] + 1]
+                    shape = (int(row.max()) + 1, int(slot[pick].max()) + 1)
+                    grid, present = np.zeros((*shape, labels)), np.zeros(shape, bool)
+                    grid[row, slot[pick]], present[row, slot[pick]] = scores[pick], True
+                    yield pick, row, ids, grid, present
+
+        before, after = np.zeros((len(length), labels)), np.ones((len(length), labels))
+        if (chunks > 1).any():
+            begins = np.zeros(len(length), bool)
+            begins[first_chunk[:-1][chunks > 0]] = True
+            product = np.empty((len(length), labels, labels))
+            for _, _, ids, grid, present in blocks():
+                product[ids] = passages(grid, present, self.model.change, begins[ids])
+            for k in range(1, int(chunks.max())):
+                here = first_chunk[:-1][chunks > k] + k
+                message = np.where(begins[here - 1, None], 1.0, before[here - 1])
+                message = (message[:, None, :] @ product[here - 1])[:, 0]
+                before[here] = message / message.sum(1, keepdims=True)
+            for k in range(int(chunks.max()) - 1, 0, -1):
+                here = first_chunk[:-1][chunks > k] + k
+                message = (product[here] @ after[here][:, :, None])[:, :, 0]
+                after[here - 1] = message / message.sum(1, keepdims=True)
+        out = np.empty((len(scores), labels))
+        for pick, row, ids, grid, present in blocks():
+            chance, _ = forward_backward(grid, present, self.model.change, before[ids], after[ids])
             out[pick] = chance[row, slot[pick]]
         return out
 
@@ -296,19 +347,22 @@ def fitted(df: DataFrame, settings: Settings, id_column="doc_id", text_column="t
         F.col(f"`{label_column}`").cast("string").alias("lang"),
     ).where("id is not null and text is not null and lang is not null")
     usable = rows.where(~held_out("id")).withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(DRAWS)))
-    counts = usable.groupBy("lang").count().collect()  # one row per language
+    counts = usable.groupBy("lang").count().limit(settings.most_languages + 1).collect()  # one row per language
+    if len(counts) > settings.most_languages:
+        raise ValueError(f"more than {settings.most_languages} languages: a label column of few values is needed")
+    most = min(settings.rows_per_language, settings.most_rows // max(len(counts), 1))
     # A threshold for each language lets through about twice the rows wanted, whatever the table's size, so the
     # ranking that takes the exact number moves no more than that.
     passes = F.lit(False)
     for r in counts:
-        wanted = 2 * settings.rows_per_language + 100
+        wanted = 2 * most + 100
         passes = passes | ((F.col("lang") == r["lang"]) & (F.col("draw") < F.lit(-(-DRAWS * wanted // r["count"]))))
     drawn = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
     sample = (
         usable.where(passes)
         .withColumn("text", F.substring("text", 1, settings.sample_chars))
         .withColumn("place", drawn)
-        .where(F.col("place") <= settings.rows_per_language)
+        .where(F.col("place") <= most)
         .select("lang", "text", "place")
         .collect()
     )
