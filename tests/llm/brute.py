@@ -115,6 +115,41 @@ def line_dedup(docs, window, divisor, prime):
     return result
 
 
+def bounded_chunks(text, prime=1_000_000_007):
+    every = text.split("\n")
+    at = [k for k, line in enumerate(every) if line.strip(" ")]
+    hashes = [_signed(xxhash.xxh64_intdigest(every[k].encode(), seed=42)) % prime for k in at]
+    sums = [31 * h + b for h, b in zip(hashes, [0, *hashes])]
+    rolled = [_signed(xxhash.xxh64_intdigest(t.to_bytes(8, "little", signed=True), seed=42)) for t in sums]
+    n, ends, first = len(at), [], 0
+    for j in range(n):
+        if j == n - 1 or (1 <= j <= n - 3 and rolled[j - 1] > rolled[j] <= rolled[j + 1]):
+            while j - first >= 3:
+                first += 2
+                ends.append(at[first - 1])
+            ends.append(at[j])
+            first = j + 1
+    ends = [*ends[:-1], len(every) - 1]
+    return [every[a:b] for a, b in zip([0, *[e + 1 for e in ends]], [e + 1 for e in ends])]
+
+
+def not_blank(part):
+    return [k for k, line in enumerate(part) if line.strip(" ")]
+
+
+def bounded_line_dedup(docs):
+    """doc_id -> (lines removed, text left)."""
+    seen, result = set(), {}
+    for i, text in sorted({(i, t) for i, t in docs if t is not None}):
+        left = []
+        for chunk in bounded_chunks(text):
+            if len(not_blank(chunk)) < 2 or tuple(chunk) not in seen:
+                left.append(chunk)
+                seen.add(tuple(chunk))
+        result[i] = (text.count("\n") + 1 - sum(map(len, left)), "\n".join("\n".join(c) for c in left))
+    return result
+
+
 # --- quality
 
 

@@ -1,48 +1,11 @@
 """Line dedup with chunks of two or three lines, against a plain version and against all repeated multi-line runs."""
 
-import xxhash
-
 from gtdlens.llm import lines
-from tests.llm.brute import _signed
+from tests.llm.brute import bounded_chunks, bounded_line_dedup, not_blank
 from tests.llm.conftest import known, table
 from tests.llm.test_repeat_operators import line_docs
 
 
-def chunks(text):
-    every = text.split("\n")
-    at = [k for k, line in enumerate(every) if line.strip(" ")]
-    hashes = [_signed(xxhash.xxh64_intdigest(every[k].encode(), seed=42)) % lines.PRIME for k in at]
-    sums = [31 * h + b for h, b in zip(hashes, [0, *hashes])]
-    rolled = [_signed(xxhash.xxh64_intdigest(t.to_bytes(8, "little", signed=True), seed=42)) for t in sums]
-    n, ends, first = len(at), [], 0
-    for j in range(n):
-        if j == n - 1 or (1 <= j <= n - 3 and rolled[j - 1] > rolled[j] <= rolled[j + 1]):
-            while j - first >= 3:
-                first += 2
-                ends.append(at[first - 1])
-            ends.append(at[j])
-            first = j + 1
-    ends = [*ends[:-1], len(every) - 1]
-    return [every[a:b] for a, b in zip([0, *[e + 1 for e in ends]], [e + 1 for e in ends])]
-
-
-def not_blank(part):
-    return [k for k, line in enumerate(part) if line.strip(" ")]
-
-
-def dedup(docs):
-    """doc_id -> (lines removed, text left)."""
-    seen, result = set(), {}
-    for i, text in sorted({(i, t) for i, t in docs if t is not None}):
-        left = []
-        for chunk in chunks(text):
-            if len(not_blank(chunk)) < 2 or tuple(chunk) not in seen:
-                left.append(chunk)
-                seen.add(tuple(chunk))
-        result[i] = (text.count("\n") + 1 - sum(map(len, left)), "\n".join("\n".join(c) for c in left))
-    return result
-
-
 def in_repeated_runs(docs):
     """Lines in a run of two or more that occurred before."""
     first, total = {}, 0
@@ -57,7 +20,7 @@ def in_repeated_runs(docs):
 
 
 def check(df, rows):
-    found, expected, text = lines.without_repeated_chunks(df, bounded=True).collect(), dedup(known(rows)), dict(known(rows))
+    found, expected, text = lines.without_repeated_chunks(df, bounded=True).collect(), bounded_line_dedup(known(rows)), dict(known(rows))
     assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows)
     for r in found:
         if r.doc_id is not None:
@@ -68,8 +31,8 @@ def check(df, rows):
 
 def test_chunks_can_all_take_part():
     for _, text in line_docs(5):
-        sizes = [len(not_blank(c)) for c in chunks(text)]
-        assert "\n".join("\n".join(c) for c in chunks(text)) == text
+        sizes = [len(not_blank(c)) for c in bounded_chunks(text)]
+        assert "\n".join("\n".join(c) for c in bounded_chunks(text)) == text
         assert max(sizes) <= 3 and (min(sizes) >= 2 or len(sizes) == 1)
 
 

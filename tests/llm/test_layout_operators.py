@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gtdlens.llm import lines, neighbours, packing, quality, shards
+from gtdlens.llm import neighbours, packing, quality, shards
 from tests.llm import brute
 from tests.llm.conftest import known, table
 
@@ -219,7 +219,7 @@ def test_empty_embeddings(spark):
 
 def pipeline_brute(docs):
     docs = [(i, t) for i, t in docs if brute.quality(t, quality.Rules())["kept"]]
-    cleaned = brute.line_dedup(docs, lines.WINDOW, lines.DIVISOR, lines.PRIME)
+    cleaned = brute.bounded_line_dedup(docs)
     docs = [(i, cleaned[i][1]) for i, _ in docs]
     groups = brute.components(docs, 5)
     docs = [(i, t) for i, t in docs if groups[i][1] == i]

@@ -27,6 +27,8 @@ def test_columns(spark, small, name):
         "op8_length_packing": ["doc_id", "piece", "first_word", "n_tokens", "bucket", "bucket_tokens", "batch", "slot"],
         "op9_kd_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
         "op10_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        "op11_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op13_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     }[name]
     # The plan alone: the operators' own tests check the rows.
     assert entry.queries()[name](spark, small).columns[: len(expected)] == expected
@@ -34,5 +36,5 @@ def test_columns(spark, small, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = list(entry.queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names
