@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial
+from itertools import accumulate
 
+from pyspark import SparkContext
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gtdlens.operators import encoding as E
+from gtdlens.operators.fitting import PARALLEL_FITS, kept_by_partition
 from gtdlens.operators.metrics import with_errors
-from gtdlens.session import write_once
+from gtdlens.session import new_path
 
 Fit = Callable[[DataFrame], Model]
 
+# Rows one task of a fit may have where a table is split finer than that.
+ROWS_PER_TASK = 200_000
+
 # Search parameter -> Spark ML parameter. ``colsample_bytree`` becomes a
 # share of features per node; ``reg_alpha`` and ``reg_lambda`` have no counterpart and
 # stay in the trial table unused.
@@ -57,6 +65,22 @@ def fit_classifier(
     return booster.setParams(**spark_parameters(parameters)).fit(train)
 
 
+def first_rounds(model: Model, rounds: int) -> Model:
+    """The booster as it was after its first rounds: what a fit of that many rounds with the same seed gives."""
+    trees, weights = list(model._java_obj.trees()), list(model._java_obj.treeWeights())
+    if rounds >= len(trees):
+        return model
+    jvm = SparkContext._active_spark_context._jvm
+    shorter = JavaWrapper._new_java_obj(
+        model._java_obj.getClass().getName(),
+        model.uid,
+        JavaWrapper._new_java_array(trees[:rounds], jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel),
+        JavaWrapper._new_java_array(weights[:rounds], jvm.double),
+    )
+    model._java_obj.copyValues(shorter, model._java_obj.extractParamMap())
+    return type(model)(shorter)
+
+
 def split_label(
     rows: DataFrame, label: str, outcomes: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -107,47 +131,88 @@ def training_parts(
     return parts if resample is None else {i: resample(part) for i, part in parts.items()}
 
 
+def fitting_rows(train: DataFrame, rows: int) -> DataFrame:
+    """The table in as few partitions as its rows need: a small fit is a row of jobs, and each is over sooner in one task."""
+    return train.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    dropped = [c for c in ("features", "rawPrediction", "probability") if c in df.columns]
+    return with_errors(df.drop(*dropped).withColumnRenamed("label", "actual"))
+
+
 def out_of_fold(
-    data: DataFrame, fit: Fit, parts: Mapping[int, DataFrame], fold: str = "fold"
+    data: DataFrame,
+    fit: Fit,
+    parts: Mapping[int, DataFrame],
+    fold: str = "fold",
+    parallelism: int = PARALLEL_FITS,
 ) -> tuple[DataFrame, Model]:
     """Predict each fold with a model fitted on its training part.
 
     Returns all predictions with their errors, as a written table, and the last fold's
-    model.
+    model. The folds share a pool; each writes its predictions to a partition of its own.
     """
-    predicted, model = [], None
-    for i, train in parts.items():
-        model = fit(train)
-        predicted.append(model.transform(data.where(F.col(fold) == i)))
-    pooled = reduce(DataFrame.unionByName, predicted)
-    kept = [c for c in data.columns if c != "features"]
-    scored = pooled.select(*kept, "prediction").withColumnRenamed("label", "actual")
-    return write_once(with_errors(scored), "out_of_fold"), model
+    models: dict[int, Model] = {}
+
+    def predicted(i: int) -> DataFrame:
+        models[i] = fit(parts[i])
+        return _kept(models[i].transform(data.where(F.col(fold) == i))).drop(fold)
+
+    return _pooled(data, {i: partial(predicted, i) for i in parts}, fold, parallelism), models[max(parts)]
 
 
 def out_of_window(
-    data: DataFrame, fit: Fit, windows: Sequence, day: str = "start_date_local"
+    data: DataFrame,
+    fit: Fit,
+    windows: Sequence,
+    day: str = "start_date_local",
+    parallelism: int = PARALLEL_FITS,
 ) -> tuple[DataFrame, Model]:
     """Predict each validation interval with a model fitted on the days before it.
 
-    A window without training or validation rows gives no predictions.
+    A window without training or validation rows gives no predictions. The windows share a pool; each writes its
+    predictions to a partition of its own, so that reading them is one scan however many windows there are.
     """
-    parts, model = [], None
-    for w in windows:
+    sizes = window_sizes(data, windows, day)
+    usable = [k for k in range(len(windows)) if all(sizes[k])]
+    if not usable:
+        raise ValueError("no window has both training and validation rows")
+    models: dict[int, Model] = {}
+
+    def predicted(k: int) -> DataFrame:
+        w = windows[k]
         train = data.where(F.col(day).between(F.lit(w.train_start), F.lit(w.train_end)))
         valid = data.where(F.col(day).between(F.lit(w.valid_start), F.lit(w.valid_end)))
-        if train.isEmpty() or valid.isEmpty():
-            continue
-        model = fit(train)
-        window = F.lit(w.window_id)
+        models[k] = fit(fitting_rows(train, sizes[k][0]))
         # Fold metrics over windows are per window, whatever folds the table had.
-        parts.append(model.transform(valid).withColumn("window_id", window).withColumn("fold", window))
-    if not parts:
-        raise ValueError("no window has both training and validation rows")
-    pooled = reduce(DataFrame.unionByName, parts)
-    kept = [c for c in pooled.columns if c not in ("features", "rawPrediction", "probability")]
-    scored = pooled.select(*kept).withColumnRenamed("label", "actual")
-    return write_once(with_errors(scored), "out_of_window"), model
+        here = F.lit(w.window_id)
+        return _kept(models[k].transform(valid).withColumn("window_id", here).withColumn("fold", here))
+
+    pooled = _pooled(data, {k: partial(predicted, k) for k in usable}, "unit", parallelism)
+    return pooled.drop("unit"), models[usable[-1]]
+
+
+def _pooled(
+    data: DataFrame, predictions: Mapping[int, Callable[[], DataFrame]], column: str, parallelism: int
+) -> DataFrame:
+    spark = data.sparkSession
+    return kept_by_partition(spark, new_path(spark, f"by_{column}"), column, predictions, parallelism)
+
+
+def window_sizes(
+    data: DataFrame, windows: Sequence, day: str = "start_date_local"
+) -> list[tuple[int, int]]:
+    """Training and validation rows of each window, from one count of all days."""
+    # A row a day.
+    per_day = sorted((r[0], r[1]) for r in data.where(F.col(day).isNotNull()).groupBy(day).count().collect())
+    days = [d for d, _ in per_day]
+    upto = [0, *accumulate(n for _, n in per_day)]
+
+    def between(first, last) -> int:
+        return upto[max(bisect_right(days, last), bisect_left(days, first))] - upto[bisect_left(days, first)]
+
+    return [(between(w.train_start, w.train_end), between(w.valid_start, w.valid_end)) for w in windows]
 
 
 def feature_importances(data: DataFrame, model: Model, names: Sequence[str]) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
+from hashlib import sha256
+from statistics import fmean
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame
@@ -15,9 +18,10 @@ from gtdlens.operators import encoding as E
 from gtdlens.operators import modeling as Mo
 from gtdlens.operators import splits
 from gtdlens.operators import tuning
-from gtdlens.operators.metrics import with_errors
+from gtdlens.operators.fitting import PARALLEL_FITS, Ledger, kept_by_partition, run_pool
+from gtdlens.operators.metrics import mean_absolute_error, with_errors
 from gtdlens.plans.reports import with_outcome
-from gtdlens.session import write_once
+from gtdlens.session import new_path, write_once
 from gtdlens.sources.models import load_model, period_path, save_model
 
 
@@ -43,38 +47,106 @@ def tune(
     largest: bool = False,
     refit: str = "all",
     resample: Callable[[DataFrame], DataFrame] | None = None,
-    parallelism: int = 2,
+    parallelism: int = PARALLEL_FITS,
 ) -> Tuned:
     """Search over the trials by cross-validation: over ``windows`` of days where given,
     else over the ``fold`` column of the table.
 
     ``refit="all"`` fits the best parameters on every row; ``refit="last_fold"`` keeps the
-    model of the last fold. The out-of-fold rows of each trial are written once, so the
-    objective and later reports read them instead of predicting again.
+    model of the last fold. All fits share one pool. Trials that differ in their number of rounds only are one
+    fit a fold, scored at each number. Predictions are written as they come, so the objective and later reports read them.
     """
     if refit not in ("all", "last_fold"):
         raise ValueError(f"unknown refit: {refit}")
-    # All trials share the training parts, so each fold is resampled once.
-    parts = {} if windows else Mo.training_parts(data, folds, resample)
-
-    def evaluate(trial: Mapping[str, object]) -> tuning.Outcome:
-        def fitted(train: DataFrame) -> Model:
-            return fit(train, trial)
-
-        if windows:
-            scored, model = Mo.out_of_window(data, fitted, windows)
-        else:
-            scored, model = Mo.out_of_fold(data, fitted, parts)
-        kept = model if refit == "last_fold" else None
+    spark = data.sparkSession
+    groups = tuning.staged_groups(trials)
+    if windows:
+        parts = _window_parts(data, windows)
+    else:
+        # All trials share the training parts, so each fold is resampled once.
+        training = Mo.training_parts(data, folds, resample)
+        parts = {i: (train, data.where(F.col("fold") == i)) for i, train in training.items()}
+    models: dict[tuple[int, int], Model] = {}
+
+    def predicted(g: int, i: int) -> DataFrame:
+        train, held_out = parts[i]
+        models[g, i] = fit(train, groups[g][-1])
+        return with_errors(_staged(models[g, i], groups[g], held_out))
+
+    units = [(g, i) for g in range(len(groups)) for i in parts]
+    work = {u: partial(predicted, *unit) for u, unit in enumerate(units)}
+    pooled = kept_by_partition(spark, new_path(spark, "search"), "unit", work, parallelism).drop("unit")
+
+    def outcome(g: int, trial: Mapping[str, object]) -> tuning.Outcome:
+        scored = pooled.where(F.col("trial_id") == trial["trial_id"]).drop("trial_id")
+        kept = None
+        if refit == "last_fold":
+            kept = _at_rounds(models[g, max(parts)], trial, groups[g])
         return tuning.Outcome(dict(trial), objective(scored), scored, kept)
 
-    best, outcomes = tuning.search(trials, evaluate, largest, parallelism)
+    named = [(g, t) for g, group in enumerate(groups) for t in group]
+    outcomes = run_pool(spark, [partial(outcome, *item) for item in named], parallelism=parallelism)
+    outcomes.sort(key=lambda o: o.trial["trial_id"])
+    best = tuning.best_of(outcomes, largest)
     model = best.model
     if model is None:
         model = fit(data if resample is None else resample(data), best.trial)
     return Tuned(best, outcomes, model, best.scored)
 
 
+def _window_parts(
+    data: DataFrame, windows: Sequence[splits.CalendarWindow]
+) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Training and validation rows of each window that has both; a validation row's fold is its window."""
+    sizes, parts = Mo.window_sizes(data, windows), {}
+    for k, w in enumerate(windows):
+        if all(sizes[k]):
+            here = F.lit(w.window_id)
+            held_out = _valid(data, w).withColumn("window_id", here).withColumn("fold", here)
+            parts[k] = (Mo.fitting_rows(_train(data, w), sizes[k][0]), held_out)
+    if not parts:
+        raise ValueError("no window has both training and validation rows")
+    return parts
+
+
+def _train(data: DataFrame, w: splits.CalendarWindow) -> DataFrame:
+    return data.where(F.col("start_date_local").between(F.lit(w.train_start), F.lit(w.train_end)))
+
+
+def _valid(data: DataFrame, w: splits.CalendarWindow) -> DataFrame:
+    return data.where(F.col("start_date_local").between(F.lit(w.valid_start), F.lit(w.valid_end)))
+
+
+def _at_rounds(model: Model, trial: Mapping[str, object], group: Sequence[Mapping[str, object]]) -> Model:
+    """The model of one trial of a group out of the group's longest fit."""
+    return model if len(group) == 1 else Mo.first_rounds(model, int(trial["n_estimators"]))
+
+
+def _predictions(model: Model, group: Sequence[Mapping[str, object]], rows: DataFrame) -> tuple[DataFrame, dict[int, str]]:
+    """The rows with one prediction column a trial."""
+    columns = {}
+    for trial in group:
+        one = _at_rounds(model, trial, group).copy()
+        columns[trial["trial_id"]] = f"prediction_{trial['trial_id']}"
+        one.setPredictionCol(columns[trial["trial_id"]])
+        for other in ("rawPredictionCol", "probabilityCol"):
+            if one.hasParam(other):
+                one.set(one.getParam(other), "")
+        rows = one.transform(rows)
+    return rows, columns
+
+
+def _staged(model: Model, group: Sequence[Mapping[str, object]], rows: DataFrame) -> DataFrame:
+    """Each row once a trial of the group: trial_id, actual, prediction."""
+    predicted, columns = _predictions(model, group, rows)
+    each = F.explode(
+        F.array(*[F.struct(F.lit(t).cast("long").alias("trial_id"), F.col(c).alias("prediction")) for t, c in columns.items()])
+    )
+    kept = [c for c in rows.columns if c not in ("features", "label")]
+    long = predicted.select(*kept, F.col("label").alias("actual"), each.alias("__one"))
+    return long.select(*kept, "actual", "__one.trial_id", "__one.prediction")
+
+
 def prepared_regressor_data(
     rows: DataFrame, folds: int, seed: int = 42, strict: bool = False, by_day: bool = False
 ) -> tuple[DataFrame, PipelineModel, list[str]]:
@@ -139,46 +211,94 @@ def tune_windows(
     root: str,
     folds: int = 5,
     seed: int = 42,
-    parallelism: int = 2,
+    parallelism: int = PARALLEL_FITS,
 ) -> tuple[list[WindowModel], DataFrame]:
     """Tune, refit and save one model per window, and score its validation interval.
 
     The search minimises the mean of the fold errors. Every window is returned with its
     number of training rows; one without any has no model. The validation interval is
     scored with the model as it was saved.
+
+    The fits of all windows, trials and folds share one pool; a window's model is fitted once its last score is there.
+    A score goes to the ledger ``root/ledger`` as its fit ends, predictions to a partition of ``root/scored``,
+    so a later call on the same folder does what is missing only.
     """
-    day = F.col("start_date_local")
-    fitted, scored = [], []
-    for w in windows:
-        train = data.where(day.between(F.lit(w.train_start), F.lit(w.train_end)))
-        n = train.count()
-        if not n:
-            fitted.append(WindowModel(w, 0))
-            continue
-        train = splits.hashed_folds(train.drop("fold"), ["match_id"], folds, seed)
-        tuned = tune(
-            train, trials, folds, objective=tuning.mean_fold_mae, parallelism=parallelism
-        )
+    spark = data.sparkSession
+    data = splits.hashed_folds(data.drop("fold"), ["match_id"], folds, seed)
+    groups = tuning.staged_groups(trials)
+    sizes = [n for n, _ in Mo.window_sizes(data, windows)]
+    inside = [[n for n, _ in Mo.window_sizes(data.where(F.col("fold") == i), windows)] for i in range(folds)]
+    described = repr((list(windows), sorted(repr(sorted(t.items())) for t in trials), folds, seed))
+    ledger = Ledger(spark, f"{root}/ledger", sha256(described.encode()).hexdigest())
+    # The fits of each window's search; a fold without rows inside or outside it has none.
+    units = [
+        {f"score-{k}-{g}-{i}": (g, i) for g in range(len(groups)) for i in range(folds) if 0 < inside[i][k] < sizes[k]}
+        for k in range(len(windows))
+    ]
+
+    def scored(k: int, entry: str) -> tuple[int, str]:
+        if entry not in ledger.entries:
+            (g, i), train = units[k][entry], _train(data, windows[k])
+            outside = Mo.fitting_rows(train.where(F.col("fold") != i), sizes[k])
+            model = Mo.fit_regressor(outside, groups[g][-1])
+            predicted, columns = _predictions(model, groups[g], train.where(F.col("fold") == i))
+            errors = predicted.agg(*[mean_absolute_error("label", c).alias(c) for c in columns.values()]).first()
+            rows = [{"trial_id": t, "fold": i, "score": errors[c]} for t, c in columns.items()]
+            ledger.add(entry, [{"window_id": windows[k].window_id} | row for row in rows])
+        return k, entry
+
+    def chosen(k: int) -> tuning.Outcome:
+        found: dict[int, list[float]] = {}
+        for entry in units[k]:
+            for row in ledger.entries[entry]:
+                found.setdefault(row["trial_id"], []).append(row["score"])
+        mean = {t: fmean(errors) for t, errors in found.items()}
+        outcomes = [tuning.Outcome(dict(t), mean.get(t["trial_id"])) for t in trials]
+        # A window whose rows all lie in one fold cannot be searched.
+        return tuning.best_of(outcomes) if found else outcomes[0]
+
+    def fitted(k: int) -> None:
+        w, entry = windows[k], f"model-{k}"
+        if entry in ledger.entries:
+            return
+        best = chosen(k)
         path = period_path(root, w.label)
-        save_model(Mo.joined_pipeline(encoder, tuned.model), path)
-        fitted.append(WindowModel(w, n, path, tuned.best))
-        valid = data.where(day.between(F.lit(w.valid_start), F.lit(w.valid_end)))
-        scored.append(
-            load_model(path).stages[-1].transform(valid).select(
-                F.lit(w.window_id).alias("window_id"),
-                F.lit(w.label).alias("period"),
-                "match_id",
-                "start_date_local",
-                F.col("label").alias("actual"),
-                "prediction",
-            )
+        model = Mo.fit_regressor(Mo.fitting_rows(_train(data, w), sizes[k]), best.trial)
+        save_model(Mo.joined_pipeline(encoder, model), path)
+        predictions = load_model(path).stages[-1].transform(_valid(data, w)).select(
+            F.lit(w.window_id).alias("window_id"),
+            F.lit(w.label).alias("period"),
+            "match_id",
+            "start_date_local",
+            F.col("label").alias("actual"),
+            "prediction",
         )
-    if not scored:
+        with_errors(predictions).write.mode("overwrite").parquet(f"{root}/scored/unit={k}")
+        row = {"window_id": w.window_id, "trial_id": best.trial["trial_id"], "score": best.score}
+        ledger.add(entry, [row | {"train_rows": sizes[k], "path": path}])
+
+    usable = [k for k in range(len(windows)) if sizes[k]]
+    if not usable:
         raise ValueError("no window has training rows")
-    pooled = scored[0]
-    for part in scored[1:]:
-        pooled = pooled.unionByName(part)
-    return fitted, with_errors(pooled)
+    left = [set(entries) for entries in units]
+
+    def next_tasks(result: tuple[int, str] | None) -> list[Callable[[], object]]:
+        if result is None:
+            return []
+        k, entry = result
+        left[k].discard(entry)
+        return [] if left[k] else [partial(fitted, k)]
+
+    first = [partial(scored, k, entry) for k in usable for entry in units[k]]
+    first += [partial(fitted, k) for k in usable if not units[k]]
+    run_pool(spark, first, next_tasks, parallelism)
+    models = [
+        WindowModel(w, sizes[k], period_path(root, w.label), chosen(k)) if sizes[k] else WindowModel(w, 0)
+        for k, w in enumerate(windows)
+    ]
+    folder = f"{root}/scored"
+    pooled = spark.read.option("basePath", folder).parquet(*[f"{folder}/unit={k}" for k in usable])
+    return models, pooled.drop("unit")
 
 
 def score(rows: DataFrame, model: PipelineModel | str) -> DataFrame:
