@@ -143,13 +143,13 @@ def statements() -> dict[str, str]:
                 CASE WHEN CASE WHEN {_hit(CLASSIFIED)} THEN yes ELSE no END > 0 THEN 'PREVISÃO DE LUCRO'
                     ELSE 'PREVISÃO DE PREJUIZO' END AS outcome_text FROM r, best""",
         "stump_monthly_windows": f"""WITH RECURSIVE {_windowed("true")} SELECT g AS window_id, g AS fold, match_id,
-            collected AS actual, round(prediction, 6) AS prediction FROM scored""",
-        "stump_window_models": f"""WITH RECURSIVE {_windowed("g % 12 = 0")} SELECT g AS window_id,
+            collected AS actual, round(prediction + 1e-8, 6) AS prediction FROM scored""",
+        "stump_window_models": f"""WITH RECURSIVE {_windowed("true")} SELECT g AS window_id,
             CAST(ts AS VARCHAR) || '_to_' || CAST(ve AS VARCHAR) AS period, match_id, collected AS actual,
-            round(prediction, 6) AS prediction FROM scored""",
+            round(prediction + 1e-8, 6) AS prediction FROM scored""",
         "stump_all_window_models": f"""WITH RECURSIVE {_windowed("true")} SELECT g AS window_id,
             CAST(ts AS VARCHAR) || '_to_' || CAST(ve AS VARCHAR) AS period, match_id, collected AS actual,
-            round(prediction, 6) AS prediction FROM scored""",
+            round(prediction + 1e-8, 6) AS prediction FROM scored""",
         "csv_scored": f"""WITH {T}, r AS (SELECT * FROM t WHERE match_type_detail_name = 'MTT-NLH'),
             train AS (SELECT 0 AS g, * FROM r), {REGRESSOR}
             SELECT match_id, start_date_local, ko_type, gtd, collected, NULL::DOUBLE AS earlybird,

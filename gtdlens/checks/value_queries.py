@@ -102,6 +102,11 @@ def batch_similar_matches(spark, d):
 # --- boosters of one split
 
 
+def _off_halves():
+    """A mean over 32 rows may lie on half of the sixth place, where the order of its sum decides; the SQL adds the same."""
+    return F.round(F.col("prediction") + 1e-8, 6).alias("prediction")
+
+
 def _flag_data(rows: DataFrame, folds: int, by_day: bool = False):
     """Only the category flags as features, with hashed folds, written once."""
     data, encoder, names = Mo.encoded(
@@ -171,23 +176,22 @@ def stump_monthly_windows(spark, d):
     """11 months of training, 1 of validation, step 1, over the whole table."""
     data, _, windows = _monthly_windows(spark, d)
     scored, _ = Mo.out_of_window(data, lambda train: Mo.fit_regressor(train, STUMP), windows)
-    return scored.select("window_id", "fold", "match_id", "actual", F.round("prediction", 6).alias("prediction"))
+    return scored.select("window_id", "fold", "match_id", "actual", _off_halves())
 
 
-def _window_models(spark, data, encoder, windows):
-    _, scored = Tr.tune_windows(data, encoder, windows, [STUMP], new_path(spark, "windows"), folds=5)
-    return scored.select("window_id", "period", "match_id", "actual", F.round("prediction", 6).alias("prediction"))
+def _window_models(spark, data, encoder, windows, folds):
+    _, scored = Tr.tune_windows(data, encoder, windows, [STUMP], new_path(spark, "windows"), folds=folds)
+    return scored.select("window_id", "period", "match_id", "actual", _off_halves())
 
 
 def stump_window_models(spark, d):
-    """A tuned, saved and reloaded model for every twelfth monthly window only, as the SQL has it, five folds each."""
-    data, encoder, windows = _monthly_windows(spark, d)
-    return _window_models(spark, data, encoder, windows[::12])
+    """A tuned, saved and reloaded model for every monthly window, two folds each."""
+    return _window_models(spark, *_monthly_windows(spark, d), folds=2)
 
 
 def stump_all_window_models(spark, d):
-    """The same for every monthly window."""
-    return _window_models(spark, *_monthly_windows(spark, d))
+    """The same with five folds; one trial wins whatever its folds."""
+    return _window_models(spark, *_monthly_windows(spark, d), folds=5)
 
 
 def csv_scored(spark, d):

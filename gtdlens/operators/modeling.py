@@ -54,8 +54,12 @@ def spark_parameters(trial: Mapping[str, object]) -> dict[str, object]:
 def fit_regressor(
     train: DataFrame, parameters: Mapping[str, object], label: str = "label", seed: int = 42
 ) -> Model:
+    return regressor(parameters, label, seed).fit(train)
+
+
+def regressor(parameters: Mapping[str, object], label: str = "label", seed: int = 42) -> GBTRegressor:
     booster = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-    return booster.setParams(**spark_parameters(parameters)).fit(train)
+    return booster.setParams(**spark_parameters(parameters))
 
 
 def fit_classifier(
@@ -67,18 +71,43 @@ def fit_classifier(
 
 def first_rounds(model: Model, rounds: int) -> Model:
     """The booster as it was after its first rounds: what a fit of that many rounds with the same seed gives."""
-    trees, weights = list(model._java_obj.trees()), list(model._java_obj.treeWeights())
-    if rounds >= len(trees):
-        return model
+    shorter = _shortened(model._java_obj, rounds)
+    return model if shorter is model._java_obj else type(model)(shorter)
+
+
+def _shortened(booster, rounds: int):
+    if rounds >= booster.getNumTrees():
+        return booster
     jvm = SparkContext._active_spark_context._jvm
+    trees, weights = booster.trees(), booster.treeWeights()
     shorter = JavaWrapper._new_java_obj(
-        model._java_obj.getClass().getName(),
-        model.uid,
+        booster.getClass().getName(),
+        booster.uid(),
         JavaWrapper._new_java_array(trees[:rounds], jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel),
         JavaWrapper._new_java_array(weights[:rounds], jvm.double),
     )
-    model._java_obj.copyValues(shorter, model._java_obj.extractParamMap())
-    return type(model)(shorter)
+    booster.copyValues(shorter, booster.extractParamMap())
+    return shorter
+
+
+class SearchBooster:
+    """A regressor for the many short fits of a search: each fit predicts other rows at several numbers of rounds.
+
+    The fitted model stays in the JVM. Its Python mirror asks for every tree when it is made, which takes longer than
+    a small fit and holds up all other fits meanwhile.
+    """
+
+    def __init__(self, parameters: Mapping[str, object], stages: Mapping[str, int | None]):
+        """stages: prediction column -> number of rounds, None for all."""
+        self.estimator, self.stages = regressor(parameters), dict(stages)
+        self.estimator._transfer_params_to_java()
+
+    def predicted(self, train: DataFrame, rows: DataFrame) -> DataFrame:
+        model, frame = self.estimator._java_obj.fit(train._jdf), rows._jdf
+        for column, rounds in self.stages.items():
+            stage = model if rounds is None else _shortened(model, rounds)
+            frame = stage.setPredictionCol(column).transform(frame)
+        return DataFrame(frame, rows.sparkSession)
 
 
 def split_label(

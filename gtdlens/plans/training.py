@@ -236,14 +236,19 @@ def tune_windows(
         for k in range(len(windows))
     ]
 
+    columns = [{f"prediction_{t['trial_id']}": t for t in group} for group in groups]
+    boosters = [
+        Mo.SearchBooster(group[-1], {c: t.get("n_estimators") for c, t in columns[g].items()})
+        for g, group in enumerate(groups)
+    ]
+    errors = [[mean_absolute_error("label", c).alias(c) for c in named] for named in columns]
+
     def scored(k: int, entry: str) -> tuple[int, str]:
         if entry not in ledger.entries:
             (g, i), train = units[k][entry], _train(data, windows[k])
             outside = Mo.fitting_rows(train.where(F.col("fold") != i), sizes[k])
-            model = Mo.fit_regressor(outside, groups[g][-1])
-            predicted, columns = _predictions(model, groups[g], train.where(F.col("fold") == i))
-            errors = predicted.agg(*[mean_absolute_error("label", c).alias(c) for c in columns.values()]).first()
-            rows = [{"trial_id": t, "fold": i, "score": errors[c]} for t, c in columns.items()]
+            found = boosters[g].predicted(outside, train.where(F.col("fold") == i)).agg(*errors[g]).first()
+            rows = [{"trial_id": t["trial_id"], "fold": i, "score": found[c]} for c, t in columns[g].items()]
             ledger.add(entry, [{"window_id": windows[k].window_id} | row for row in rows])
         return k, entry
 
