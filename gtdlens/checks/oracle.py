@@ -316,12 +316,27 @@ NUMBERS = (
 )
 
 
-def _draw(name: str, low: float, high: float, whole: bool = False) -> str:
-    u = f"CAST(concat('0x', substr(md5('42:' || i || ':{name}'), 1, 13)) AS BIGINT) / pow(16, 13)"
+def _draw(name: str, low: float, high: float, whole: bool = False, i: str = "i", log: bool = False) -> str:
+    u = f"CAST(concat('0x', substr(md5('42:' || {i} || ':{name}'), 1, 13)) AS BIGINT) / pow(16, 13)"
+    if log:
+        return f"round(exp(ln({low}) + {u} * (ln({high}) - ln({low}))), 6) AS {name}"
     value = f"floor({low} + {u} * ({high} - {low} + 1))" if whole else f"{low} + {u} * ({high} - {low})"
     return f"round(CAST({value} AS DOUBLE), 6) AS {name}"
 
 
+LARGE = (
+    ("n_estimators", 50, 200, True, False),
+    ("max_depth", 3, 20, True, False),
+    ("learning_rate", 0.01, 0.8, False, False),
+    ("subsample", 0.5, 1.0, False, False),
+    ("colsample_bytree", 0.5, 1.0, False, False),
+    ("gamma", 0.0, 5.0, False, False),
+    ("min_child_weight", 1, 10, True, False),
+    ("reg_alpha", 1e-5, 10.0, False, True),
+    ("reg_lambda", 1e-5, 10.0, False, True),
+)
+
+
 def statements() -> dict[str, str]:
     extract = f"WITH {EXTRACT} SELECT * FROM x"
     classifier = _priced(
@@ -481,4 +496,11 @@ def statements() -> dict[str, str]:
             {_draw('max_depth', 2, 3, True)}, {_draw('learning_rate', 0.1, 0.5)},
             {_draw('subsample', 0.5, 1.0)}, {_draw('colsample_bytree', 0.5, 1.0)}, true AS is_scored
             FROM range(3) r(i)""",
+        "staged_search": f"""SELECT i AS trial_id, {_draw('n_estimators', 2, 4, True)},
+            {_draw('max_depth', 2, 3, True, 'i // 5')}, {_draw('learning_rate', 0.1, 0.5, i='i // 5')},
+            {_draw('subsample', 0.5, 1.0, i='i // 5')}, {_draw('colsample_bytree', 0.5, 1.0, i='i // 5')},
+            true AS is_scored FROM range(40) r(i)""",
+        "large_space_draws": f"""SELECT c_custkey AS trial_id, {', '.join(
+            _draw(name, low, high, whole, 'c_custkey', log) for name, low, high, whole, log in LARGE
+        )} FROM customer""",
     }

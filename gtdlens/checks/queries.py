@@ -43,6 +43,7 @@ QUICK_SPACE = {
     "colsample_bytree": tuning.Real(0.5, 1.0),
 }
 FOLDS, WINDOW_FOLDS = 10, 5
+STAGES = 5
 
 
 def _rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -594,6 +595,22 @@ def search_trials(spark, d):
     return outcomes.select("trial_id", *drawn, (F.col("score") >= 0).alias("is_scored"))
 
 
+def staged_search(spark, d):
+    """40 trials over ten folds: eight draws of the other parameters, each fitted once a fold for five numbers of rounds."""
+    _, data, _, _ = _regressor_data(spark, d)
+    trials = Tr.trial_rows(tuning.trial_table(spark, tuning.TRIALS, QUICK_SPACE, stages=STAGES))
+    outcomes = tuning.outcome_table(spark, Tr.tune(data, trials, folds=FOLDS).outcomes, QUICK_SPACE)
+    drawn = [F.round(name, 6).alias(name) for name in QUICK_SPACE]
+    return outcomes.select("trial_id", *drawn, (F.col("score") >= 0).alias("is_scored"))
+
+
+def large_space_draws(spark, d):
+    """A draw of the larger space, log-uniform penalties included, for every customer."""
+    ids = V.table(spark, d, "customer").select(F.col("c_custkey").alias("trial_id"))
+    drawn = tuning.with_draws(ids, tuning.LARGE_SPACE)
+    return drawn.select("trial_id", *[F.round(F.col(name).cast("double"), 6).alias(name) for name in tuning.LARGE_SPACE])
+
+
 REGISTERED = (
     regressor_extract,
     regressor_extract_selfjoin,
@@ -660,4 +677,6 @@ REGISTERED = (
     temporal_cv_monthly_rows,
     window_tuning_rows,
     search_trials,
+    staged_search,
+    large_space_draws,
 )

@@ -34,11 +34,15 @@ def conform(df: DataFrame, schema: T.StructType, pad: bool = False) -> DataFrame
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, pad: bool = False, by_position: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    pad: bool = False,
+    by_position: bool = False,
 ) -> DataFrame:
     """CSV with a header line, its columns taken by name and cast to the schema's types.
 
-    Only the header line is read to learn the names. Files of one folder must share it, and
+    Only the header line is read to learn the names. Files of one folder, or of a list, must share it, and
     a value that does not fit its type is an error. ``by_position`` is for files whose
     header does not name the columns.
     """

@@ -107,6 +107,26 @@ def test_uploads_are_taken_by_their_header(spark, rows, prepared, tmp_path):
     assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
 
 
+def test_uploads_of_one_header_are_one_scan(spark, rows, prepared, tmp_path):
+    from gtdlens.streaming.uploads import scored_file, scored_files
+
+    data, encoder, _ = prepared
+    model = Mo.joined_pipeline(encoder, Mo.fit_regressor(data, {"n_estimators": 1, "max_depth": 2}))
+    paths = []
+    for i in range(10):
+        part = rows.where(F.col("match_id") % 10 == i).coalesce(1)
+        part = part.drop("earlybird") if i % 3 == 0 else part
+        part.write.option("header", True).csv(str(tmp_path / str(i)))
+        paths += sorted(str(p) for p in (tmp_path / str(i)).glob("*.csv"))
+    found = scored_files(spark, model, rows.schema, paths)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    alone = [scored_file(spark, model, rows.schema, p) for p in paths]
+    expected = alone[0]
+    for part in alone[1:]:
+        expected = expected.unionByName(part)
+    assert found.count() == rows.count() and found.exceptAll(expected).isEmpty()
+
+
 def test_over_sampling_does_not_depend_on_the_layout(spark):
     """Points on a grid have many equal distances; the same rows come out for any number of partitions."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
