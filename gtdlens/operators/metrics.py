@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gtdlens.functions.columns import absolute_error
+from gtdlens.operators.group_quantiles import grouped_quantiles
 from gtdlens.operators.quantiles import exact_quantiles, quantiles_of
 
 
@@ -208,3 +209,9 @@ def box_statistics(df: DataFrame, series: dict[str, Column]) -> DataFrame:
 
 def median_absolute_error(df: DataFrame, actual: str, predicted: str) -> float | None:
     return exact_quantiles(df, absolute_error(actual, predicted), [0.5])[0]
+
+
+def median_absolute_errors(df: DataFrame, keys: Sequence[str], actual: str, predicted: str) -> DataFrame:
+    """The median absolute error of every group, as ``score``, in passes that all groups share."""
+    found = grouped_quantiles(df, keys, absolute_error(actual, predicted), [0.5])
+    return found.select(*keys, F.element_at("quantiles", 1).alias("score"))

@@ -60,7 +60,7 @@ def quantiles_of(
     this repeats until few enough values are left to sort. Each pass is one scan with
     map-side combine for all ranks of all columns, and the answer is exact.
     """
-    values = df.select(*[_number(value).alias(name) for name, value in series.items()])
+    values = df.select(*[as_number(value).alias(name) for name, value in series.items()])
     totals = values.agg(*[F.count(name).alias(name) for name in series]).first()
     found: dict[str, list[float | None]] = {name: [None] * len(probabilities) for name in series}
     short = [name for name in series if 0 < totals[name] <= gather_limit]
@@ -84,7 +84,7 @@ def quantiles_of(
     return found
 
 
-def _number(value: Column | str) -> Column:
+def as_number(value: Column | str) -> Column:
     """The value as a double, with NaN taken as missing."""
     number = (F.col(value) if isinstance(value, str) else value).cast("double")
     return F.when(~F.isnan(number), number)

@@ -77,15 +77,16 @@ def tune(
     work = {u: partial(predicted, *unit) for u, unit in enumerate(units)}
     pooled = kept_by_partition(spark, new_path(spark, "search"), "unit", work, parallelism).drop("unit")
 
+    scores = _scores(pooled, trials, objective, parallelism)
+
     def outcome(g: int, trial: Mapping[str, object]) -> tuning.Outcome:
         scored = pooled.where(F.col("trial_id") == trial["trial_id"]).drop("trial_id")
         kept = None
         if refit == "last_fold":
             kept = _at_rounds(models[g, max(parts)], trial, groups[g])
-        return tuning.Outcome(dict(trial), objective(scored), scored, kept)
+        return tuning.Outcome(dict(trial), scores.get(trial["trial_id"]), scored, kept)
 
-    named = [(g, t) for g, group in enumerate(groups) for t in group]
-    outcomes = run_pool(spark, [partial(outcome, *item) for item in named], parallelism=parallelism)
+    outcomes = [outcome(g, trial) for g, group in enumerate(groups) for trial in group]
     outcomes.sort(key=lambda o: o.trial["trial_id"])
     best = tuning.best_of(outcomes, largest)
     model = best.model
@@ -94,6 +95,21 @@ def tune(
     return Tuned(best, outcomes, model, best.scored)
 
 
+def _scores(
+    pooled: DataFrame, trials: Sequence[Mapping[str, object]], objective: Callable[[DataFrame], float | None], parallelism: int
+) -> dict[int, float | None]:
+    """Score of each trial: in passes that all trials share, or one by one for an objective of the caller's own."""
+    together = tuning.TOGETHER.get(objective)
+    if together is not None:
+        # One row a trial.
+        return {row["trial_id"]: row["score"] for row in together(pooled, ["trial_id"]).collect()}
+
+    def score(trial: Mapping[str, object]) -> tuple[int, float | None]:
+        return trial["trial_id"], objective(pooled.where(F.col("trial_id") == trial["trial_id"]).drop("trial_id"))
+
+    return dict(run_pool(pooled.sparkSession, [partial(score, t) for t in trials], parallelism=parallelism))
+
+
 def _window_parts(
     data: DataFrame, windows: Sequence[splits.CalendarWindow]
 ) -> dict[int, tuple[DataFrame, DataFrame]]:
