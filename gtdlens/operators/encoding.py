@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
@@ -10,10 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gtdlens.operators.ranking import global_rank
+from gtdlens.session import write_once
+
 Vocabulary = Mapping[str, Sequence[str]]
 
 # A missing value is a category of its own, under this text.
 MISSING = "None"
+# Values of all columns that become a feature of their own each; beyond it the dictionary stays a table.
+MOST_VALUES = 100_000
 
 
 def feature_name(column: str, value: str) -> str:
@@ -24,18 +30,22 @@ def category_text(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(MISSING))
 
 
-def fit_vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+def fit_vocabulary(df: DataFrame, columns: Sequence[str], most: int = MOST_VALUES) -> dict[str, list[str]]:
     """Sorted distinct values per column. Numbers sort as numbers, a missing value last.
 
     One scan for all columns: the (column, value) pairs are combined map-side, so only
     distinct pairs are shuffled. What comes to the driver is one text per feature of the
-    model, which holds them anyway.
+    model, which holds them anyway. More than ``most`` are refused: such columns are encoded by a
+    table, see :func:`fit_dictionary`.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), category_text(c).alias("value")) for c in columns]
     )
     fitted: dict[str, list[str]] = {c: [] for c in columns}
-    for column, value in df.select(F.inline(pairs)).distinct().collect():
+    found = df.select(F.inline(pairs)).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories in {', '.join(columns)}: use fit_dictionary")
+    for column, value in found:
         fitted[column].append(value)
     for column, found in fitted.items():
         is_number = isinstance(df.schema[column].dataType, T.NumericType)
@@ -185,3 +195,74 @@ def padded(df: DataFrame, model: PipelineModel) -> tuple[DataFrame, list[str]]:
     absent = {c: F.lit(0.0) for c in numbers if c.lower() not in have}
     absent |= {c: F.lit(None).cast("string") for c in vocabulary if c.lower() not in have}
     return (df.withColumns(absent) if absent else df), list(absent)
+
+
+# --- dictionaries too long for one column a value
+
+
+DICTIONARY = ("column", "value", "position", "feature_name")
+
+
+def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The vocabulary as a written table, in the order of :func:`fit_vocabulary`: column, value, position, feature_name.
+
+    Values are numbered by a parallel range sort, so a column may have as many as it has rows. Only
+    the number of values of each column comes to the driver.
+    """
+    names = list(columns)
+    texts = [
+        F.struct(F.lit(i).alias("place"), category_text(c).alias("value"), _sorted_by(df, c).alias("number"))
+        for i, c in enumerate(names)
+    ]
+    values = df.select(F.inline(F.array(*texts))).distinct()
+    order = ["place", F.col("value") == MISSING, F.col("number").asc_nulls_last(), "value"]
+    ranked, _ = global_rank(values, order, "__rank")
+    ranked = write_once(ranked, "dictionary")
+    # One row a column.
+    first = {r["place"]: r["first"] for r in ranked.groupBy("place").agg(F.min("__rank").alias("first")).collect()}
+    starts = F.create_map(*[F.lit(x) for i in range(len(names)) for x in (i, first.get(i, 0))])
+    column = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("place") + 1)
+    return ranked.select(
+        column.alias("column"),
+        "value",
+        (F.col("__rank") - F.element_at(starts, F.col("place"))).alias("position"),
+        F.concat(column, F.lit("_"), "value").alias("feature_name"),
+    )
+
+
+def _sorted_by(df: DataFrame, column: str) -> Column:
+    """Numbers sort as numbers, texts as texts."""
+    is_number = isinstance(df.schema[column].dataType, T.NumericType)
+    return F.col(f"`{column}`").cast("double") if is_number else F.lit(None).cast("double")
+
+
+def dictionary_sizes(dictionary: DataFrame, columns: Sequence[str]) -> list[int]:
+    """The number of values of each column."""
+    counted = dict(dictionary.groupBy("column").count().collect())
+    return [counted.get(c, 0) for c in columns]
+
+
+def encode_by_dictionary(
+    df: DataFrame, dictionary: DataFrame, columns: Sequence[str], strict: bool = False, output: str = "flags"
+) -> DataFrame:
+    """Replace the category columns by the indices of their flags in the one-hot vector, ascending.
+
+    The vector has the flags of each column in turn, so an index is the value's position behind all values of the columns
+    before. A value meets its position in a join by hash: a short dictionary is
+    broadcast by its size, a long one is shuffled, where a hot value can be split. An unseen value has no flag, or
+    an error when ``strict``.
+    """
+    offsets = [0, *accumulate(dictionary_sizes(dictionary, columns))]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    found = []
+    for i, c in enumerate(columns):
+        named = dictionary.where(F.col("column") == c).select(
+            F.col("value").alias(f"__value{i}"), (F.col("position") + offsets[i]).alias(f"__index{i}")
+        )
+        df = df.join(named, category_text(c) == F.col(f"__value{i}"), "left").drop(f"__value{i}")
+        index = F.col(f"__index{i}")
+        if strict:
+            refusal = F.raise_error(F.concat(F.lit(f"unseen value in {c}: "), category_text(c)))
+            index = F.coalesce(index, refusal.cast("long"))
+        found.append(index)
+    return df.select(*kept, F.array_compact(F.array(*found)).alias(output))
