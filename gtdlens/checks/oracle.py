@@ -185,6 +185,20 @@ def _flags(values: dict[str, list[str]]) -> str:
 PARTIAL = {"ko_type": ["KO", "Regular"], "estrutura_blinds": ["Hyper", "Turbo - no ante"]}
 
 
+FORMS = f"""f AS (
+    SELECT event_id AS scenario_id, CAST(ts AS DATE) AS day, k % 27 - 0.5 AS hour,
+        {_pick('k % 8', *DAYS, 'Feriado')} AS day_of_week_local,
+        {_pick('user_id % 4', 'KO', 'Mystery Bounty', 'Progressive KO', 'Regular')} AS ko_type,
+        {_pick('event_id % 8', *FORM_VOCABULARY['mtt_pool_allocation_description'])} AS mtt_pool_allocation_description,
+        {_pick('event_id % 5', *FORM_VOCABULARY['estrutura_blinds'])} AS estrutura_blinds,
+        CAST(k % 12 + 1 AS DOUBLE) AS level_reject,
+        CAST(60 * (user_id % 10 + 1) AS DOUBLE) AS mtt_blind_up_time_sec,
+        CAST((k % 3) / 10.0 AS DOUBLE) AS earlybird, k % 2 = 0 AS has_rebuy, user_id % 3 = 0 AS has_addon,
+        CAST(k % 20 AS DOUBLE) AS buy_in, CAST(20 + 2 * (user_id % 100) AS DOUBLE) AS gtd
+    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+)"""
+
+
 def _form() -> str:
     def text(value: str) -> str:
         return f"coalesce({value}, false)"
@@ -196,21 +210,7 @@ def _form() -> str:
         if c != "start_hour_local"
         for v in vs
     ]
-    pool = FORM_VOCABULARY["mtt_pool_allocation_description"]
-    blinds = FORM_VOCABULARY["estrutura_blinds"]
-    return f"""WITH {T}, {SLOTS},
-f AS (
-    SELECT event_id AS scenario_id, CAST(ts AS DATE) AS day, k % 27 - 0.5 AS hour,
-        {_pick('k % 8', *DAYS, 'Feriado')} AS day_of_week_local,
-        {_pick('user_id % 4', 'KO', 'Mystery Bounty', 'Progressive KO', 'Regular')} AS ko_type,
-        {_pick('event_id % 8', *pool)} AS mtt_pool_allocation_description,
-        {_pick('event_id % 5', *blinds)} AS estrutura_blinds,
-        CAST(k % 12 + 1 AS DOUBLE) AS level_reject,
-        CAST(60 * (user_id % 10 + 1) AS DOUBLE) AS mtt_blind_up_time_sec,
-        CAST((k % 3) / 10.0 AS DOUBLE) AS earlybird, k % 2 = 0 AS has_rebuy, user_id % 3 = 0 AS has_addon,
-        CAST(k % 20 AS DOUBLE) AS buy_in, CAST(20 + 2 * (user_id % 100) AS DOUBLE) AS gtd
-    FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
-),
+    return f"""WITH {T}, {SLOTS}, {FORMS},
 g AS (
     SELECT scenario_id, CAST(coalesce(sum(n) FILTER (WHERE h = floor(hour)), 0) AS BIGINT) AS own,
         CAST(coalesce(sum(n), 0) AS BIGINT) AS near

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gtdlens.checks.oracle import (
-    CATEGORIES, EXTRACT_COLUMNS, FOLD, PRODUCTS, SCORED, SLOTS, T, YEARLY, _pick, _priced,
+    CATEGORIES, EXTRACT_COLUMNS, FOLD, FORMS, PRODUCTS, REPORT, SAME, SCORED, SLOTS, T, YEARLY, _pick, _priced,
 )
 
 ODD = f"""{T},
@@ -65,6 +65,17 @@ EXTRACTED = _priced(
     start=False,
 )
 
+CLASS_FOLDS = f"""r AS ({EXTRACTED}),
+k AS (SELECT *, {FOLD.format(id="id_match", k=5)} AS fold FROM r WHERE overlay_match_bi IN (0, 1)),
+f AS (SELECT DISTINCT fold AS g FROM k),
+train AS (SELECT g, k.* FROM k JOIN f ON fold <> g),
+{_split(CLASSIFIED, "k", "train", "(2 * overlay_match_bi - 1)")},
+oof AS (
+    SELECT id_match, buyin_price, rebuy_price, fold, overlay_match_bi::DOUBLE AS actual,
+        CASE WHEN CASE WHEN {_hit(CLASSIFIED, "k")} THEN yes ELSE no END > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
+    FROM k JOIN best ON g = fold
+)"""
+
 WINDOWS = """span AS (SELECT min(start_date_local) AS lo, max(start_date_local) AS hi FROM t),
 steps AS (
     SELECT 0 AS i, CAST(lo + INTERVAL 11 MONTH AS DATE) AS v FROM span
@@ -126,6 +137,46 @@ def statements() -> dict[str, str]:
         "batch_similar_matches": _batch(
             "abs(price - paid) <= 6 AND abs(rebuy - again) <= 6 AND abs(gtd - promised) <= 26"
         ),
+        "stored_exact_matches": _priced(f"{SAME} AND price = 5.5 AND rebuy = 0 AND gtd = 153", start=True),
+        "stored_similar_matches": _priced(
+            f"{SAME} AND price BETWEEN 1 AND 25 AND rebuy BETWEEN 0 AND 15 AND gtd BETWEEN 1 AND 200", start=True
+        ),
+        "stored_lookup_empty": f"""SELECT c_custkey AS scenario_id, c_custkey NOT IN (SELECT scenario_id FROM (
+            {_batch("abs(price - paid) <= 6 AND abs(rebuy - again) <= 6 AND abs(gtd - promised) <= 26")})) AS is_empty
+            FROM customer""",
+        "dictionary_flags": f"""WITH {YEARLY},
+            span AS (SELECT min(start_date_local) AS lo, max(start_date_local) AS hi FROM t),
+            v AS (SELECT * FROM t, span WHERE start_date_local <= lo + CAST((hi - lo) // 2 AS INT)),
+            a AS (SELECT ko_type, row_number() OVER (ORDER BY ko_type) - 1 AS i FROM (SELECT DISTINCT ko_type FROM v)),
+            b AS (SELECT start_hour_local, row_number() OVER (ORDER BY start_hour_local) - 1
+                + (SELECT count(*) FROM a) AS j FROM (SELECT DISTINCT start_hour_local FROM v)),
+            c AS (SELECT match_id, row_number() OVER (ORDER BY 'serie ' || match_id) - 1
+                + (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS k FROM v)
+            SELECT match_id, concat_ws(',', i, j, k) AS flags FROM t LEFT JOIN a USING (ko_type)
+            LEFT JOIN b USING (start_hour_local) LEFT JOIN c USING (match_id)""",
+        "class_error_quantiles": f"""WITH {SCORED},
+            e AS (SELECT class_match, {FOLD.format(id="match_id", k=10)} AS fold, abs(collected - prediction * 1.5) AS e FROM s)
+            SELECT class_match, fold, round(quantile_cont(e, 0.25), 6) AS q1, round(median(e), 6) AS median,
+                round(quantile_cont(e, 0.75), 6) AS q3 FROM e GROUP BY ALL""",
+        "stump_class_folds": f"WITH {CLASS_FOLDS} SELECT * FROM oof",
+        "stump_class_report": f"""WITH {CLASS_FOLDS}, ap AS (SELECT actual AS a, prediction AS p FROM oof), {REPORT}""",
+        "stump_class_importances": f"""WITH {CLASS_FOLDS}, vocabulary AS ({" UNION ".join(
+            f"SELECT '{c}' AS col, {c} AS value FROM r" for c in CLASSIFIED)})
+            SELECT v.col || '_' || v.value AS "Feature Importance",
+                CASE WHEN v.col = best.col AND v.value = best.value THEN 1.0 ELSE 0.0 END::DOUBLE AS "Value"
+            FROM vocabulary v, best WHERE g = 4""",
+        "stump_class_search": f"""WITH {CLASS_FOLDS}, per AS (SELECT fold,
+                coalesce(2 * count(*) FILTER (WHERE actual = 0 AND prediction = 0)
+                    / nullif(count(*) FILTER (WHERE actual = 0) + count(*) FILTER (WHERE prediction = 0), 0), 0) AS f1
+                FROM oof GROUP BY fold)
+            SELECT trial_id, round(avg(f1), 6) AS score, trial_id = 0 AS best
+            FROM per, (SELECT unnest([0, 1]) AS trial_id) GROUP BY trial_id""",
+        "typed_scores": f"""WITH {ALL_ROWS}, {FORMS},
+            z AS (SELECT * REPLACE (CASE WHEN floor(hour) BETWEEN 0 AND 23 THEN CAST(floor(hour) AS INT) END AS hour) FROM f),
+            y AS (SELECT *, hour AS start_hour_local FROM z)
+            SELECT scenario_id, gtd, round({PREDICTED.replace("r.", "y.")}, 6) AS prediction,
+                round({PREDICTED.replace("r.", "y.")} - gtd, 6) AS result_pred,
+                {PREDICTED.replace("r.", "y.")} - gtd < 0 AS has_overlay_pred FROM y, best""",
         "stump_scores": f"""WITH {ALL_ROWS} SELECT match_id, round({PREDICTED}, 6) AS prediction,
             round({PREDICTED} - gtd, 6) AS result_pred, {PREDICTED} - gtd < 0 AS has_overlay_pred FROM r, best""",
         "stump_importances": f"""WITH {ALL_ROWS} SELECT DISTINCT flag.col || '_' || flag.value AS feature,

@@ -12,19 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gtdlens import schemas
+from gtdlens.checks.queries import RANGES, SCENARIO
 from gtdlens.functions import columns as C
 from gtdlens.operators import encoding as E
+from gtdlens.operators import metrics as M
 from gtdlens.operators import modeling as Mo
 from gtdlens.operators import splits
 from gtdlens.operators import tuning
+from gtdlens.operators.group_quantiles import grouped_quantiles
 from gtdlens.plans import extracts as X
 from gtdlens.plans import lookups as L
 from gtdlens.plans import reports as R
+from gtdlens.plans import scenario as Sc
 from gtdlens.plans import training as Tr
 from gtdlens.session import new_path, write_once
 from gtdlens.sources import sample_views as V
 from gtdlens.sources import tables
-from gtdlens.sources.models import save_model
+from gtdlens.sources.models import cached_model, save_model
 from gtdlens.streaming.uploads import scored_file
 
 STUMP = {"trial_id": 0, "n_estimators": 1, "max_depth": 1}
@@ -99,6 +103,60 @@ def batch_similar_matches(spark, d):
     return found.select("scenario_id", "id_match", "buyin_price", "rebuy_price", "gtd_match", "day_of_week", "period")
 
 
+# --- lookups from the stored table
+
+
+def _stored_lookup(spark, d) -> DataFrame:
+    """Loaded up to a day, then refreshed by the last of these days again and all after it."""
+    products, prices, path = V.products(spark, d), V.prices(spark, d), new_path(spark, "lookup")
+    day = F.col("date_start_time_match_utc_local").cast("date")
+    first, last = products.agg(F.min(day), F.max(day)).first()
+    middle = first + (last - first) / 2
+    L.store_lookup(products.where(day <= F.lit(middle)), prices, path)
+    L.store_lookup(products.where(day >= F.lit(middle)), prices, path)
+    return L.open_lookup(spark, path)
+
+
+def stored_exact_matches(spark, d):
+    return L.stored_exact_matches(_stored_lookup(spark, d), SCENARIO)
+
+
+def stored_similar_matches(spark, d):
+    return L.stored_similar_matches(_stored_lookup(spark, d), SCENARIO, RANGES)
+
+
+def stored_lookup_empty(spark, d):
+    """Whether each customer's scenario has any similar tournament: the form says so when the answer is empty."""
+    asked = _scenarios(spark, d)
+    found = batch_similar_matches(spark, d).select("scenario_id").distinct().withColumn("found", F.lit(True))
+    return asked.join(found, "scenario_id", "left").select("scenario_id", F.col("found").isNull().alias("is_empty"))
+
+
+# --- dictionaries that stay tables
+
+
+def dictionary_flags(spark, d):
+    """One-hot indices over the categories and a column with as many values as rows, in a dictionary of the earlier half."""
+    rows = V.yearly_tournaments(spark, d).withColumn("series", F.concat(F.lit("serie "), "match_id"))
+    columns = ["ko_type", "start_hour_local", "series"]
+    first, last = rows.agg(F.min("start_date_local"), F.max("start_date_local")).first()
+    known = rows.where(F.col("start_date_local") <= F.lit(first + (last - first) / 2))
+    encoded = E.encode_by_dictionary(rows, E.fit_dictionary(known, columns), columns)
+    return encoded.select("match_id", F.concat_ws(",", F.transform("flags", lambda i: i.cast("string"))).alias("flags"))
+
+
+# --- many groups at once
+
+
+def class_error_quantiles(spark, d):
+    """Quartiles of the absolute error of every class and fold, searched by rank beyond 100 values."""
+    scored = splits.hashed_folds(V.predicted(V.tournaments(spark, d)), ["match_id"])
+    gap = F.abs(F.col("collected") - F.col("prediction") * 1.5)
+    found = grouped_quantiles(scored, ["class_match", "fold"], gap, [0.25, 0.5, 0.75], gather_limit=100)
+    named = [F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
+    return found.select("class_match", "fold", *named)
+
+
 # --- boosters of one split
 
 
@@ -164,6 +222,58 @@ def stump_classes(spark, d):
     return Tr.classify(rows, model).select("id_match", "buyin_price", "rebuy_price", "prediction", "outcome_text")
 
 
+def _class_folds(spark, d, folds=5):
+    """Category flags of the rows labelled 0 or 1, in hashed folds."""
+    rows = X.classifier_extract(V.products(spark, d), V.prices(spark, d))
+    usable = Mo.binary_labels(rows, schemas.CLASSIFIER_LABEL)
+    vocabulary = E.fit_vocabulary(rows, schemas.CLASSIFIER_CATEGORIES)
+    kept = ["id_match", "buyin_price", "rebuy_price"]
+    data, _, names = Mo.encoded(usable, schemas.CLASSIFIER_CATEGORIES, [], schemas.CLASSIFIER_LABEL, kept, True, vocabulary)
+    return write_once(splits.hashed_folds(data, ["id_match"], folds), "flags"), names
+
+
+def _class_predictions(data, folds=5):
+    return Mo.out_of_fold(data, lambda train: Mo.fit_classifier(train, STUMP), Mo.training_parts(data, folds))
+
+
+def stump_class_folds(spark, d):
+    scored, _ = _class_predictions(_class_folds(spark, d)[0])
+    return scored.select("id_match", "buyin_price", "rebuy_price", "fold", "actual", "prediction")
+
+
+def stump_class_report(spark, d):
+    """The report over all folds' predictions together."""
+    scored, _ = _class_predictions(_class_folds(spark, d)[0])
+    report = M.classification_report(scored, "actual", "prediction")
+    return report.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def stump_class_importances(spark, d):
+    """Importances of the last fold's classifier."""
+    data, names = _class_folds(spark, d)
+    return R.ranked_importances(Mo.feature_importances(data, _class_predictions(data)[1], names))
+
+
+def stump_class_search(spark, d):
+    """The search of the classifier by the mean F1 over the folds."""
+    data, _ = _class_folds(spark, d)
+    trials = [STUMP, {**STUMP, "trial_id": 1, "learning_rate": 0.5}]
+    tuned = Tr.tune(data, trials, 5, fit=Mo.fit_classifier, objective=tuning.mean_fold_f1, largest=True)
+    return data.sparkSession.createDataFrame(
+        [(o.trial["trial_id"], round(o.score, 6), o is tuned.best) for o in tuned.outcomes],
+        "trial_id long, score double, best boolean",
+    )
+
+
+def typed_scores(spark, d):
+    """Planned tournaments as typed into the form, scored by a saved model that the session keeps."""
+    data, encoder, _ = _flag_data(_month(spark, d), 3)
+    path = save_model(Mo.joined_pipeline(encoder, Mo.fit_regressor(data, STUMP)), new_path(spark, "stump"))
+    scored = Tr.score(Sc.scenario_rows(V.scenarios(spark, d)), cached_model(path))
+    rounded = [F.round(c, 6).alias(c) for c in ("prediction", "result_pred")]
+    return scored.select("scenario_id", "gtd", *rounded, "has_overlay_pred")
+
+
 def _monthly_windows(spark, d):
     rows = V.yearly_tournaments(spark, d)
     days = rows.agg(F.min("start_date_local"), F.max("start_date_local")).first()
@@ -215,6 +325,16 @@ def days_from_text(spark, d):
 
 
 REGISTERED = (
+    stored_exact_matches,
+    stored_similar_matches,
+    stored_lookup_empty,
+    dictionary_flags,
+    class_error_quantiles,
+    stump_class_folds,
+    stump_class_report,
+    stump_class_importances,
+    stump_class_search,
+    typed_scores,
     odd_hours_short_period,
     odd_hours_long_period,
     odd_hours_open_period,
