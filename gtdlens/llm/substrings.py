@@ -13,8 +13,10 @@ The source coordinates (id, start) of records and edges decide which is first; j
 words to remove. Copies found within one task are settled there, and their records leave under a seed of their own,
 so that a group of copies that holds a third of all rows sends one record of each path per task and never fills one task.
 
-The shuffles: path records (16 bytes of hashes each, one per about six words), the records that are repeated or
-branch, the texts by id (planned once, reused), the opened edges.
+The shuffles: the least and largest path of each seed (a seed branches where they differ), path records (16 bytes of
+hashes each, one per about six words) by seed and path, the records that are repeated or
+branch, the texts by id (planned once, reused), the opened edges. No shuffle gathers a seed: a phrase that many documents
+share in different surroundings is one row a task in the first, and spreads by path and by edge in the others.
 
 Defined results: a null or empty text has no words and the digest of nothing; rows without an id take no part and
 are kept whole; rows that repeat an id are the same document and get the same result.
@@ -140,17 +142,20 @@ def span_arrays(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
     """Per document the spans (first word, edges) whose windows all start earlier too: (doc_id, spans)."""
     records = path_records(docs, window, seed_words)
-    by_seed = Window.partitionBy("seed").orderBy("path", "doc_id", "start")
-    whole_seed = by_seed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Combined before the shuffle, so a seed that a third of all records share is one row a task. The records are made
+    # again below: their seeds do not depend on how a scan was cut, and it moves less than writing them.
+    branching = records.groupBy("seed").agg(F.min("path").alias("low"), F.max("path").alias("high"))
+    branching = write_once(branching.where("low < high").select("seed", F.lit(True).alias("other")), "branching")
     copies = Window.partitionBy("seed", "path").orderBy("doc_id", "start")
+    # The written table's size decides how it meets the records; where it is shuffled, a hot seed is split as a skewed key.
     marked = (
-        records.withColumn("other", F.min("path").over(whole_seed) != F.max("path").over(whole_seed))
-        .withColumn("later", F.col("later") | (F.rank().over(copies) > 1))
+        records.withColumn("later", F.col("later") | (F.rank().over(copies) > 1))
+        .join(branching, "seed", "left")
         .where("later or other")
     )
     marked = write_once(marked.select("doc_id", "start", "n", "later"), "paths")
-    branching = _listed(marked.where("not later"))
-    edges = opened_edges(docs.join(branching, "doc_id").select("doc_id", "text", "spans"), window)
+    opened = _listed(marked.where("not later"))
+    edges = opened_edges(docs.join(opened, "doc_id").select("doc_id", "text", "spans"), window)
     edges = edges.withColumn("later", F.col("later") | (F.rank().over(copies) > 1))
     later = marked.where("later").select("doc_id", "start", "n")
     return _listed(later.unionByName(edges.where("later").select("doc_id", "start", "n")))

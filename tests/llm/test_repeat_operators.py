@@ -61,6 +61,26 @@ def test_substrings_of_small_documents(spark, small, small_docs):
     check_substrings(spark.read.parquet(f"{small}/documents.parquet"), small_docs)
 
 
+def test_a_phrase_in_different_surroundings(spark):
+    """A third of all documents share 12 words, some of them longer passages around these; no shuffle gathers the phrase."""
+    rng = random.Random(7)
+    phrase = [f"p{i}" for i in range(12)]
+    around = [f"q{i}" for i in range(6)]
+    rows = []
+    for i in range(600):
+        own = [f"{i}_{j}" for j in range(rng.randint(3, 30))]
+        at = rng.randrange(len(own))
+        middle = around + phrase + around if i % 12 == 0 else phrase
+        rows.append((i, " ".join(own[:at] + middle + own[at:] if i % 3 == 0 else own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    check_substrings(df, rows)
+    plan = substrings.repeated_spans(df, 20, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan
+    for line in plan.splitlines():
+        if line.lstrip(" +-:").startswith("Window"):
+            assert "[seed#" not in line or "path#" in line.rsplit("[seed#", 1)[1]
+
+
 def test_substrings_do_not_depend_on_the_layout(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     one = substrings.dedup_digest(df.repartition(1)).orderBy("doc_id").collect()
