@@ -14,7 +14,7 @@ words to remove. Copies found within one task are settled there, and their recor
 so that a group of copies that holds a third of all rows sends one record of each path per task and never fills one task.
 
 The shuffles: the least and largest path of each seed (a seed branches where they differ), path records (16 bytes of
-hashes each, one per about six words) by seed and path, the records that are repeated or
+hashes each, one per about six words), those that share their seed by seed and path, those that are repeated or
 branch, the texts by id (planned once, reused), the opened edges. No shuffle gathers a seed: a phrase that many documents
 share in different surroundings is one row a task in the first, and spreads by path and by edge in the others.
 
@@ -144,15 +144,13 @@ def repeated_spans(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
     records = path_records(docs, window, seed_words)
     # Combined before the shuffle, so a seed that a third of all records share is one row a task. The records are made
     # again below: their seeds do not depend on how a scan was cut, and it moves less than writing them.
-    branching = records.groupBy("seed").agg(F.min("path").alias("low"), F.max("path").alias("high"))
-    branching = write_once(branching.where("low < high").select("seed", F.lit(True).alias("other")), "branching")
+    seeds = records.groupBy("seed").agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count("*").alias("n"))
+    seeds = write_once(seeds.where("n > 1").select("seed", F.expr("low < high").alias("other")), "seeds")
     copies = Window.partitionBy("seed", "path").orderBy("doc_id", "start")
-    # The written table's size decides how it meets the records; where it is shuffled, a hot seed is split as a skewed key.
-    marked = (
-        records.withColumn("later", F.col("later") | (F.rank().over(copies) > 1))
-        .join(branching, "seed", "left")
-        .where("later or other")
-    )
+    # A record alone with its seed goes first. The written table's size decides how it meets the records; where it
+    # is shuffled, a hot seed is split as a skewed key, and the next shuffle deals it out by path.
+    met = records.join(seeds, "seed", "left").where("later or other is not null").repartition("seed", "path")
+    marked = met.withColumn("later", F.col("later") | (F.rank().over(copies) > 1)).where("later or other")
     marked = write_once(marked.select("doc_id", "start", "n", "later"), "paths")
     opened = _listed(marked.where("not later"))
     edges = opened_edges(docs.join(opened, "doc_id").select("doc_id", "text", "spans"), window)
