@@ -3,7 +3,8 @@
 Space is cut into cells and each cell remembers the box around its points. A point
 looks in its own cell first; the distance found there rules out every cell whose box
 lies farther away, and only the remaining cells are searched. Cells are worked through
-in blocks of bounded size, and a task hands on the few nearest points only, never all
+in blocks of bounded size: a product of matrices rules most pairs out, and the others
+are measured exactly. A task hands on the few nearest points only, never all
 pairs.
 """
 
@@ -26,11 +27,14 @@ from gtdlens.session import write_once
 # The tasks below carry their code with them, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_POINTS = 2_048
+# Large cells and blocks: a point travels once for every block it meets, and a block of 64 dimensions is 8 MB.
+CELL_POINTS = 16_384
 # The boxes that go to every executor: two numbers per cell and dimension, 64 MB at most. Beyond
 # that the cells hold more points, which are still searched block by block.
 MAX_BOX_NUMBERS = 8_000_000
-BLOCK_POINTS = 4_096
+BLOCK_POINTS = 16_384
+# Columns of which the least is taken together when a block is searched.
+RUN = 64
 SAMPLE_PER_CELL = 8
 
 NEAR = "array<struct<distance:double,point_id:bigint,copies:bigint>>"
@@ -99,18 +103,71 @@ def nearest_in_block(
     by_id = np.argsort(point_ids, kind="stable")
     points, ids = points[by_id], point_ids[by_id]
     width = min(k, len(points))
-    gaps_found = np.empty((len(queries), width))
-    places = np.empty((len(queries), width), dtype=np.int64)
-    step = max(1, 2_000_000 // max(points.size, 1))
+    gaps_found = np.full((len(queries), width), np.inf)
+    places = np.zeros((len(queries), width), dtype=np.int64)
+    if not width:
+        return gaps_found, places
+    # Squares by a product of matrices, about the points' middle, are near the true ones; they only rule points out.
+    known = np.isfinite(points).all(axis=1)
+    middle = points[known].mean(axis=0) if known.any() else 0.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        moved = points - middle
+        lengths = (moved**2).sum(axis=1)
+        moved = np.where(known[:, None], moved, 0.0)
+        longest = lengths[known].max(initial=0.0)
+    step = max(1, 4_000_000 // max(len(points), 1))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
-        gaps = np.sqrt(((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-        gaps[query_ids[start : start + step, None] == ids[None, :]] = np.inf
-        # The points stand in the order of their ids, which a stable sort keeps among equals.
-        near = np.argsort(gaps, axis=1, kind="stable")[:, :width]
-        gaps_found[start : start + step] = np.take_along_axis(gaps, near, axis=1)
-        places[start : start + step] = by_id[near]
-    return gaps_found, places
+        with np.errstate(over="ignore", invalid="ignore"):
+            shifted = part - middle
+            own = (shifted**2).sum(axis=1)
+            squares = shifted @ moved.T
+            squares *= -2
+            squares += lengths
+            squares += own[:, None]
+            slack = 16 * (points.shape[1] + 4) * np.finfo(float).eps * (own + longest)
+        # Lengths that overflow rule nothing out.
+        squares[~np.isfinite(own + longest)] = 0.0
+        squares[:, ~known] = np.inf
+        first, last = (np.searchsorted(ids, query_ids[start : start + step], side) for side in ("left", "right"))
+        for row in np.nonzero(last > first)[0]:
+            squares[row, first[row] : last[row]] = np.inf
+        near = squares <= (_kth_least(squares, width) + 2 * np.nan_to_num(slack, posinf=0.0))[:, None]
+        near &= np.isfinite(squares)
+        _nearest_of(part, points, near, gaps_found[start : start + step], places[start : start + step])
+    return gaps_found, by_id[places]
+
+
+def _kth_least(squares: np.ndarray, k: int) -> np.ndarray:
+    """Of each row a bound that k entries at least do not exceed: the k-th of the least entries of its runs."""
+    n, columns = squares.shape
+    runs = columns // RUN
+    if runs < 4 * k:
+        return np.partition(squares, k - 1, axis=1)[:, k - 1]
+    least = squares[:, : runs * RUN].reshape(n, RUN, runs).min(axis=1)
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
+
+
+def _nearest_of(
+    queries: np.ndarray, points: np.ndarray, near: np.ndarray, gaps_found: np.ndarray, places: np.ndarray
+) -> None:
+    """The nearest of each row's marked points by their exact distances, which are measured in bounded parts."""
+    width, upto = gaps_found.shape[1], np.cumsum(near.sum(axis=1))
+    start = 0
+    while start < len(queries):
+        done = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, done + 2_000_000 // points.shape[1], "right")))
+        row, at = np.nonzero(near[start:end])
+        with np.errstate(over="ignore", invalid="ignore"):
+            gaps = np.sqrt(((queries[start + row] - points[at]) ** 2).sum(axis=1))
+        # The points stand in the order of their ids, which decides among equals.
+        order = np.lexsort((at, gaps, row))
+        row, at, gaps = row[order], at[order], gaps[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < width
+        gaps_found[start + row[kept], rank[kept]] = gaps[kept]
+        places[start + row[kept], rank[kept]] = at[kept]
+        start = end
 
 
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
@@ -236,23 +293,21 @@ def nearest_points(
     reach = F.when(F.size("near") >= k, F.element_at("near", -1)["distance"])
     bounded = asked.join(first.select("point_id", reach.alias("reach")), "point_id", "left")
 
-    def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @pandas_udf("array<int>")
+    def other_cells(x: pd.Series, own: pd.Series, reach: pd.Series) -> pd.Series:
         cell, lower, upper = shared.value
-        step = max(1, 4_000_000 // lower.size)
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start : start + step].reset_index(drop=True)
-                x = np.stack(part["x"])[:, None, :]
-                outside = np.maximum(np.maximum(lower - x, x - upper), 0)
-                gap = np.sqrt((outside**2).sum(axis=2))
-                far = part["reach"].fillna(np.inf).to_numpy(dtype=float) * (1 + 1e-12)
-                visits = (gap <= far[:, None]) & (cell[None, :] != part["cell"].to_numpy()[:, None])
-                row, at = np.nonzero(visits)
-                met = part.iloc[row][["point_id", "x"]].reset_index(drop=True)
-                yield met.assign(cell=cell[at].astype("int32"))
-
-    visits = bounded.select("point_id", "x", "cell", "reach").mapInPandas(
-        other_cells, "point_id bigint, x array<double>, cell int"
-    )
+        step, found = max(1, 4_000_000 // lower.size), []
+        for start in range(0, len(x), step):
+            here = slice(start, start + step)
+            at = np.stack(x.iloc[here])[:, None, :]
+            outside = np.maximum(np.maximum(lower - at, at - upper), 0)
+            gap = np.sqrt((outside**2).sum(axis=2))
+            far = reach.iloc[here].fillna(np.inf).to_numpy(dtype=float) * (1 + 1e-12)
+            visited = (gap <= far[:, None]) & (cell[None, :] != own.iloc[here].to_numpy()[:, None])
+            found += [cell[row].astype("int32") for row in visited]
+        return pd.Series(found, dtype=object)
+
+    # Only the cells' numbers come back from Python.
+    visits = bounded.withColumn("cell", F.explode(other_cells("x", "cell", "reach"))).select("point_id", "x", "cell")
     away = _search(visits, placed, k)
     return _merged(home.unionByName(away), k)

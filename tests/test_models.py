@@ -291,6 +291,38 @@ def test_neighbours_are_exact(spark, kind, monkeypatch):
     assert got == brute_force(x, 5)
 
 
+def test_block_distances_are_those_of_every_pair(monkeypatch):
+    """Far from zero, with ties, repeated ids, missing and enormous numbers; several parts and runs a block."""
+    from gtdlens.operators import neighbours as N
+
+    monkeypatch.setattr(N, "RUN", 8)
+    random = np.random.default_rng(11)
+    x = random.normal(size=(500, 6))
+    odd = x.copy()
+    odd[3], odd[7, 0], odd[9], odd[11] = np.nan, np.inf, 1e200, 1e154
+    ids = random.permutation(500) // 2
+    for points in (x, np.round(x), 1e7 + x * 1e-3, odd):
+        with np.errstate(all="ignore"):
+            gaps = np.sqrt(((points[:60, None] - points[None]) ** 2).sum(axis=2))
+        gaps[~np.isfinite(gaps) | (ids[:60, None] == ids[None])] = np.inf
+        order = np.lexsort((np.broadcast_to(np.arange(500), gaps.shape), np.broadcast_to(ids, gaps.shape), gaps), axis=1)[:, :5]
+        found, at = N.nearest_in_block(points[:60], ids[:60], points, ids, 5)
+        want = np.take_along_axis(gaps, order, axis=1)
+        assert (np.where(np.isfinite(found), found, np.inf) == want).all()
+        assert (at == order)[np.isfinite(want)].all()
+
+
+def test_block_measures_few_pairs_exactly(monkeypatch):
+    from gtdlens.operators import neighbours as N
+
+    marked = []
+    measured = N._nearest_of
+    monkeypatch.setattr(N, "_nearest_of", lambda q, p, near, *out: (marked.append(near.sum()), measured(q, p, near, *out)))
+    x, ids = np.random.default_rng(2).normal(size=(3_000, 64)), np.arange(3_000)
+    N.nearest_in_block(x[:1_000], ids[:1_000], x, ids, 5)
+    assert 5_000 <= sum(marked) < 0.01 * 1_000 * 3_000
+
+
 def test_cells_cover_every_point():
     random = np.random.default_rng(1)
     x = random.normal(size=(1000, 4))
