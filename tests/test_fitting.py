@@ -145,3 +145,58 @@ def test_window_sizes(spark):
     df = spark.createDataFrame([(d,) for d in days], "start_date_local date")
     windows = splits.rolling_windows(date(2020, 2, 1), date(2020, 2, 2), 1, 1) + splits.rolling_windows(date(2030, 1, 1), date(2030, 1, 2))
     assert Mo.window_sizes(df, windows) == [(5, 1), (0, 0)]
+
+
+def test_equal_rows_as_one_give_the_same_model(spark):
+    rng = random.Random(4)
+    rows = [([float(rng.randrange(3)), float(rng.randrange(4))], rng.uniform(0, 9)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    one = Mo.equal_rows_as_one(df, [])
+    assert one.count() == 12 and one.agg(F.sum(Mo.WEIGHT)).first()[0] == 600
+    trial = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3}
+    found = [[r[0] for r in Mo.fit_regressor(t, trial).transform(df).select("prediction").collect()] for t in (df, one)]
+    assert found[0] == pytest.approx(found[1], abs=1e-9)
+    missing = df.withColumn("label", F.when(F.rand(1) > 0.01, F.col("label")))
+    assert Mo.equal_rows_as_one(missing, []).where("label is null").count() > 0
+    assert Mo.takes_weights(trial) and not Mo.takes_weights(trial | {"subsample": 0.5})
+    assert not Mo.takes_weights(trial | {"min_child_weight": 2})
+
+
+def test_window_fits_read_equal_rows_once(spark, yearly, tmp_path, monkeypatch):
+    """Copies of all rows leave the rows of a fit as they are, and the scores too; fits that draw rows read them all."""
+    data, encoder, windows = yearly
+    predicted, seen = Mo.SearchBooster.predicted, []
+
+    def counting(self, train, rows):
+        seen.append(train.count())
+        return predicted(self, train, rows)
+
+    monkeypatch.setattr(Mo.SearchBooster, "predicted", counting)
+    shifted = F.col("match_id") + 0
+    copies = data.unionByName(data.withColumn("match_id", shifted))
+    found = []
+    for name, rows, trial in (("one", data, TRIALS[0]), ("two", copies, TRIALS[0]), ("drawn", copies, TRIALS[0] | {"subsample": 0.9})):
+        models, scored = Tr.tune_windows(rows, encoder, windows[:1], [trial], str(tmp_path / name), folds=2)
+        found.append((sorted(seen), models[0].best.score, scored.count()))
+        seen.clear()
+    assert found[0][0] == found[1][0] and found[0][1] == pytest.approx(found[1][1]) and found[1][2] == 2 * found[0][2]
+    assert sum(found[2][0]) >= 2 * sum(found[1][0])
+
+
+def test_tasks_of_a_large_table_stay_bounded(spark, monkeypatch):
+    """Files of the layout by day hold few rows, and a fit of many rows does not join its partitions."""
+    monkeypatch.setattr(Mo, "ROWS_PER_FILE", 100)
+    tournaments = V.yearly_tournaments(spark, "/root/testdata/sf0.001")
+    extract = X.regressor_extract(tournaments, date(1995, 1, 1), date(2001, 12, 31), classes=Q.ALL_CLASSES)
+    data, _, _ = Tr.prepared_regressor_data(extract, 2, by_day=True)
+    assert max(r[0] for r in data.groupBy(F.input_file_name()).count().select("count").collect()) <= 100
+    wide = spark.range(100, numPartitions=40)
+    assert Mo.fitting_rows(wide, Mo.ROWS_PER_TASK + 1).rdd.getNumPartitions() == 40
+    assert Mo.fitting_rows(wide, Mo.ROWS_PER_TASK).rdd.getNumPartitions() == 1
+
+
+def test_window_fold_sizes(spark):
+    rows = [(date(2020, 1, d), f) for d, f in ((1, 0), (1, 1), (5, 1), (31, 2))] + [(date(2020, 2, 3), 0), (None, 1)]
+    df = spark.createDataFrame(rows, "start_date_local date, fold int")
+    windows = splits.rolling_windows(date(2020, 2, 1), date(2020, 2, 2), 1, 1)
+    assert Mo.window_fold_sizes(df, windows, 3) == ([4], [[1], [2], [1]])
