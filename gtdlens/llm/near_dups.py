@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gtdlens.llm.common import narrowed, per_batch
 from gtdlens.llm.components import connected_components
-from gtdlens.llm.text_arrays import Words, mixed, signed, slices
+from gtdlens.llm.text_arrays import SMALL_SLICE_BYTES, Words, mixed, signed, slices
 from gtdlens.session import write_once
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -69,7 +69,7 @@ def signatures(df: DataFrame, shingle: int) -> DataFrame:
     """Per row: set size, 128 bits that name the set, the packed signature and the band buckets."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch):
+        for part in slices(batch, size=SMALL_SLICE_BYTES):
             n = part.num_rows
             rows, found = shingle_sets(part.column("text"), shingle)
             count = np.bincount(rows, minlength=n)
@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     )
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "text_a", 1_000_000):
+        for part in slices(batch, "text_a", SMALL_SLICE_BYTES // 2):
             n = part.num_rows
             keys, sizes = [], []
             for column in ("text_a", "text_b"):

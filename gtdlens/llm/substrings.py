@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gtdlens.llm.common import narrowed, per_batch
-from gtdlens.llm.text_arrays import Words, mixed, sequence_hashes, signed, slices
+from gtdlens.llm.text_arrays import SMALL_SLICE_BYTES, Words, mixed, sequence_hashes, signed, slices
 from gtdlens.session import write_once
 
 WINDOW = 20
@@ -97,7 +97,7 @@ def path_records(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
         return seeds[chosen[begins]], path, ids, first - words.first[words.rows[first]], n
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = [found for part in slices(batch) if (found := of(part))]
+        parts = [found for part in slices(batch, size=SMALL_SLICE_BYTES) if (found := of(part))]
         if parts:
             yield _settled(*map(np.concatenate, zip(*parts)))
 
@@ -119,7 +119,7 @@ def opened_edges(branching: DataFrame, window: int) -> DataFrame:
         return one, two, ids, np.repeat(start, n) + _counted(n), np.ones(len(place), np.int64)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = [found for part in slices(batch) if (found := of(part))]
+        parts = [found for part in slices(batch, size=SMALL_SLICE_BYTES) if (found := of(part))]
         if parts:
             yield _settled(*map(np.concatenate, zip(*parts)))
 
@@ -189,7 +189,7 @@ def dedup_digest(
     """One row per document: words, words removed, digest of the kept words joined by one space."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch):
+        for part in slices(batch, size=SMALL_SLICE_BYTES):
             sizes, removed, digests = [], [], []
             for words, stays in _kept_words(part, window):
                 kept = words if stays.all() else [w for w, s in zip(words, stays.tolist()) if s]
@@ -223,7 +223,7 @@ def without_repeats(
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         whole = pa.RecordBatch.from_struct_array(batch.column("row")).append_column("\0spans", batch.column("spans"))
-        for part in slices(whole, text_column):
+        for part in slices(whole, text_column, SMALL_SLICE_BYTES):
             texts = part.column(text_column).to_pylist()
             two = pa.RecordBatch.from_arrays([part.column(text_column), part.column("\0spans")], ["text", "spans"])
             for i, (words, stays) in enumerate(_kept_words(two, window)):

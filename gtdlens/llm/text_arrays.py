@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
+# For operators that follow each other in the same workers: arrays of a few MB go back to the system when they are freed,
+# larger ones stay with the worker, next to what the executor's JVM holds.
+SMALL_SLICE_BYTES = 500_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -112,7 +115,7 @@ def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     known = _grown.get(seed)
     if known is None or len(known[0]) < size:
         base = int(mixed(np.array([seed + 99], np.uint64))[0]) | 1
-        length = max(size, SLICE_BYTES + 1)
+        length = max(size, SLICE_BYTES + 1) if size > SMALL_SLICE_BYTES + 1 else SMALL_SLICE_BYTES + 1
         pair = []
         for value in (base, pow(base, -1, 1 << 64)):
             factors = np.full(length, value, np.uint64)

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gtdlens.llm import components, lines, near_dups, substrings
+from gtdlens.llm import components, lines, near_dups, quality, substrings, text_arrays
 from tests.llm import brute
 from tests.llm.conftest import known
 
@@ -246,3 +247,31 @@ def test_empty_table(empty_df, operator):
 def test_line_dedup_runs_no_python(spark, small):
     plan = lines.line_digest(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# --- what the operators of a pipeline leave in a worker
+
+
+def test_operators_in_one_worker_keep_small_arrays(spark, monkeypatch):
+    """The tables that stay in a worker, and the arrays of a slice, are small; verdicts and signatures do not depend on it."""
+    monkeypatch.setattr(text_arrays, "_grown", {})
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    seen = {}
+
+    def kept(df, function, schema):
+        seen[schema] = list(function(batch))
+        return df
+
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for module in (quality, near_dups, substrings):
+        monkeypatch.setattr(module, "per_batch", kept)
+    quality.keep_good(df)
+    near_dups.signatures(df, 5)
+    substrings.path_records(df, 20, 10)
+    assert batch.nbytes > 1_500_000 and len(seen) == 3
+    assert text_arrays._grown and max(len(power) for power, _ in text_arrays._grown.values()) <= 500_001
+    rows, _ = near_dups.shingle_sets(batch.column("text"), 5)
+    found = pa.Table.from_batches(next(v for k, v in seen.items() if "buckets" in k))
+    assert found.column("n").to_pylist() == np.bincount(rows, minlength=len(texts)).tolist()
