@@ -1,6 +1,7 @@
 """The pool of fits, the ledger that lets a killed search go on, and trials scored by one staged fit."""
 
 import random
+import threading
 import time
 from datetime import date
 
@@ -14,6 +15,7 @@ from gtdlens.operators import modeling as Mo
 from gtdlens.operators import splits, tuning
 from gtdlens.plans import extracts as X
 from gtdlens.plans import training as Tr
+from gtdlens.sources import models as saved
 from gtdlens.sources import sample_views as V
 
 TRIALS = [{"trial_id": i, "n_estimators": n, "max_depth": 2, "learning_rate": 0.3} for i, n in enumerate((2, 1, 3))]
@@ -200,3 +202,45 @@ def test_window_fold_sizes(spark):
     df = spark.createDataFrame(rows, "start_date_local date, fold int")
     windows = splits.rolling_windows(date(2020, 2, 1), date(2020, 2, 2), 1, 1)
     assert Mo.window_fold_sizes(df, windows, 3) == ([4], [[1], [2], [1]])
+
+
+def test_large_fits_take_turns(spark, monkeypatch):
+    """The more rows a fit has, the fewer are at work at a time; small ones share the whole pool."""
+    rows = [([float(i % 7)], float(i % 5), i % 6) for i in range(300)]
+    df = spark.createDataFrame(rows, "x array<double>, label double, fold int").select(array_to_vector("x").alias("features"), "label", "fold")
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def fit(train, trial, **others):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.2)
+        model = Mo.fit_regressor(train, trial, **others)
+        with lock:
+            now[0] -= 1
+        return model
+
+    trial = {"trial_id": 0, "n_estimators": 1, "max_depth": 2}
+    Tr.tune(df, [trial], 6, fit=fit)
+    assert most[0] > 2
+    monkeypatch.setattr(fitting, "ROWS_AT_WORK", 500)
+    most[0] = 0
+    tuned = Tr.tune(df, [trial], 6, fit=fit)
+    assert most[0] <= 2 and tuned.out_of_fold.count() == 300
+    most[0] = 0
+    found, _ = Mo.out_of_fold(df.withColumn("match_id", F.lit(1)), lambda t: fit(t, trial), Mo.training_parts(df, 6))
+    assert most[0] <= 2 and found.count() == 300
+    assert [fitting.fits_at_once(n) for n in (0, 10, 100, 10_000)] == [16, 16, 5, 2] and fitting.fits_at_once(10_000, 1) == 1
+
+
+def test_the_booster_of_a_saved_pipeline_is_read_alone(spark, yearly, tmp_path, monkeypatch):
+    data, encoder, windows = yearly
+    whole, loads = saved.load_model, []
+    monkeypatch.setattr(saved.PipelineModel, "load", lambda path: loads.append(path))
+    models, scored = Tr.tune_windows(data, encoder, windows[:1], TRIALS[:1], str(tmp_path), folds=2)
+    monkeypatch.undo()
+    assert not loads and scored.count() > 0
+    pipeline, booster = whole(models[0].path), saved.load_last_stage(spark, models[0].path)
+    assert booster.uid == pipeline.stages[-1].uid and len(pipeline.stages) > 9
+    predicted = [m.transform(data).select("match_id", "prediction") for m in (booster, pipeline.stages[-1])]
+    assert predicted[0].exceptAll(predicted[1]).isEmpty()
