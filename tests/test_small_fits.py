@@ -125,6 +125,28 @@ def test_a_search_of_small_windows_takes_few_jobs(spark, yearly, tmp_path, monke
     assert scores[0] == pytest.approx(scores[1], rel=1e-12) and len(scores[0]) == 27
 
 
+def test_large_windows_read_the_folds_they_come_with(spark, yearly, tmp_path, monkeypatch):
+    """A table that has the search's folds already is not written again, unless a window is fitted in one partition."""
+    data, encoder, windows = yearly
+    plain, written = Tr.write_once, []
+
+    def kept(df, name, *rest):
+        written.append(name)
+        return plain(df, name, *rest)
+
+    monkeypatch.setattr(Tr, "write_once", kept)
+    counts = []
+    for most, folds in ((Mo.ROWS_PER_TASK, 3), (0, 3), (0, 2)):
+        monkeypatch.setattr(Mo, "ROWS_PER_TASK", most)
+        models, scored = Tr.tune_windows(data, encoder, windows[:1], [DRAWN], str(tmp_path / f"{most}-{folds}"), folds=folds)
+        counts.append((written.count("windows"), models[0].train_rows, scored.count()))
+        written.clear()
+    assert [n for n, *_ in counts] == [1, 0, 1] and len({tuple(rest) for _, *rest in counts}) == 1
+    other = data.withColumn("fold", F.col("fold") + 0)
+    assert splits.has_hashed_folds(data, ["match_id"], 3) and not splits.has_hashed_folds(other, ["match_id"], 3)
+    assert not splits.has_hashed_folds(data, ["match_id"], 3, seed=1) and not splits.has_hashed_folds(data.drop("fold"), ["match_id"], 3)
+
+
 def test_a_joined_pipeline_is_what_saving_all_stages_gives(spark, yearly, tmp_path):
     data, encoder, _ = yearly
     model = Mo.fit_regressor(data, {"n_estimators": 2, "max_depth": 2})
