@@ -109,12 +109,12 @@ def test_a_search_of_small_windows_takes_few_jobs(spark, yearly, tmp_path, monke
     data, encoder, windows = yearly
     trials = [DRAWN, DRAWN | {"trial_id": 1, "learning_rate": 0.1}, DRAWN | {"trial_id": 2, "n_estimators": 1}]
 
-    def searched(name):
-        return Tr.tune_windows(data, encoder, windows, trials, str(tmp_path / name), folds=3)
+    def searched(name, **pool):
+        return Tr.tune_windows(data, encoder, windows, trials, str(tmp_path / name), folds=3, **pool)
 
     (models, scored), few = jobs(spark, "few", lambda: searched("few"))
     monkeypatch.setattr(Mo, "CELLS_PER_TASK", 0)
-    (alone, again), many = jobs(spark, "many", lambda: searched("many"))
+    (alone, again), many = jobs(spark, "many", lambda: searched("many", parallelism=1))
     # Three windows of two groups of trials and three folds: 18 fits of the search, and three last ones.
     assert few < 110 < many
     assert [m.best for m in models] == [m.best for m in alone] and len({m.best.score for m in models}) == 3
